@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paperlake.llm import substring_dedup
+from paperlake.llm import bpe, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_bpe": bpe.op3_bpe,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
