@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from paperlake.llm import bpe, substring_dedup
+from paperlake.llm import bpe, line_dedup, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op5_line_dedup": line_dedup.SQL,
 }
