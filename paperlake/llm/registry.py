@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from paperlake.llm import bpe, line_dedup, substring_dedup
+from paperlake.llm import bpe, line_dedup, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
