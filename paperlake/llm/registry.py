@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperlake.llm import bpe, line_dedup, quality_classifier, quality_rules, substring_dedup
+from paperlake.llm import bpe, jaccard_join, line_dedup, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
