@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from paperlake.llm import bpe, jaccard_join, line_dedup, quality_classifier, quality_rules, substring_dedup
+from paperlake.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op5_line_dedup": line_dedup.SQL,
+    "op7_decontaminate": decontaminate.SQL,
 }
