@@ -270,6 +270,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("kept_text").alias("text"), counted("n_lines"), counted("n_removed"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with all their columns, text and n_chars being what dedup_lines() leaves.
+
+    A document that loses lines and keeps none but blank ones is left out.
+    """
+    out = _fresh_store(docs.sparkSession).insert(docs).dedup(docs)
+    out = out.where(F.col("n_removed").isNull() | (F.col("n_removed") == 0) | (F.btrim("kept_text", F.lit(" \t\r\n")) != ""))
+    own = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return out.select(*[own.get(f.name, F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema])
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
