@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from paperlake.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
