@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from paperlake.llm import bpe, decontaminate, html_text, jaccard_join, license_scan, line_dedup, quality_classifier, quality_rules, substring_dedup
+from paperlake.llm import bpe, decontaminate, html_text, jaccard_join, license_scan, line_dedup, quality_classifier, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_warc_revisits": warc.op2_warc_revisits,
     "op3_bpe": bpe.op3_bpe,
     "op4_html_text": html_text.op4_html_text,
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op2_warc_revisits": warc.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op7_decontaminate": decontaminate.SQL,
 }
