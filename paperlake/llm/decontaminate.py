@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import FOLDED, U, Words, batch, buffers, mix, words
+from paperlake.llm.kernels import FOLDED, U, Words, buffers, filter_rows, mix, words
 from paperlake.session import prepare
 
 SPAN, MISSES = 12, 2
@@ -188,7 +188,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that have no overlap; nothing is shuffled."""
     for sent in _sent(prepare(docs.sparkSession), benchmark):
-        docs = docs.mapInArrow(_clean_rows(sent, docs.columns.index("text")), docs.schema)
+        docs = filter_rows(docs, _clean_rows(sent, docs.columns.index("text")))
     return docs
 
 

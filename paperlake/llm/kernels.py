@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 SEGMENT = 1 << 20
@@ -150,3 +151,9 @@ def words(column: pa.Array, lut: np.ndarray = EXACT, limit: int = CHUNK) -> Iter
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def filter_rows(docs: DataFrame, run) -> DataFrame:
+    """Rows of `docs` that `run` lets through; columns go by number meanwhile, so that any names will do."""
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

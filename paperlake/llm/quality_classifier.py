@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import EXACT, FOLDED, U, Words, batch, buffers, chunks, mix
+from paperlake.llm.kernels import EXACT, FOLDED, U, Words, batch, buffers, chunks, filter_rows, mix
 from paperlake.session import prepare
 
 CLASSES = ("clean", "junk", "toxic")
@@ -338,7 +338,7 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLAS
 def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """The rows of `docs`, with all their columns, that classify() keeps; nothing is shuffled."""
     model = prepare(docs.sparkSession).sparkContext.broadcast(fit(docs, labels, per_class))
-    return docs.mapInArrow(_keep_rows(model, docs.columns.index("text")), docs.schema)
+    return filter_rows(docs, _keep_rows(model, docs.columns.index("text")))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
