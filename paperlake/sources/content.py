@@ -216,26 +216,31 @@ class _Interpreter:
     def show(self, raw: bytes) -> None:
         font, size, scan = self.font, self.size, self.scan
         step = 2 if font and font.two_bytes(raw) else 1
+        m = multiply(self.tm, self.ctm)
+        turned = abs(m[1]) > 1e-6 or abs(m[2]) > 1e-6
+        sized = font and (font.cid or font.widths or font.type0)
+        note, extra, x = scan.chars.append, self.spacing * self.scale, 0.0
+        y0, y1 = sorted((m[5], m[3] * size + m[5]))
         at, n = 0, len(raw)
         while at < n:
             width = min(step, n - at)
             code = int.from_bytes(raw[at : at + width], "big")
             at += width
             text = font.decode(code, width) if font else chr(code)
-            m = multiply(self.tm, self.ctm)
-            turned = abs(m[1]) > 1e-6 or abs(m[2]) > 1e-6
-            if font:
-                w = font.width(code) * size / 1000 if font.cid or font.widths or font.type0 else 0.5 * size if turned else font.width(code) * size / 1000
-            else:
-                w = 0.6 * size
+            w = 0.6 * size if not font else 0.5 * size if turned and not sized else font.width(code) * size / 1000
             w *= self.scale
             if font and font.type3:
                 scan.type3 += 1
             scan.undecoded += text.count("�")
             each = w / max(len(text), 1)
             for k, c in enumerate(text):
-                scan.chars.append(Char(c, *box(m, k * each, 0, (k + 1) * each, size), size, turned))
-            self.advance(w + (self.spacing + (self.word if width == 1 and code == 32 else 0)) * self.scale)
+                if turned:
+                    note(Char(c, *box(m, x + k * each, 0, x + (k + 1) * each, size), size, True))
+                else:
+                    left, right = m[4] + (x + k * each) * m[0], m[4] + (x + (k + 1) * each) * m[0]
+                    note(Char(c, left, y0, right, y1, size, False) if left <= right else Char(c, right, y0, left, y1, size, False))
+            x += w + extra + (self.word * self.scale if width == 1 and code == 32 else 0)
+        self.advance(x)
 
     def space(self) -> None:
         x, y = multiply(self.tm, self.ctm)[4:]
