@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from paperlake.plans import files, grid
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = grid.QUERIES | files.QUERIES
+ORACLE_SQL: dict[str, str] = grid.ORACLE_SQL | files.ORACLE_SQL
