@@ -26,6 +26,9 @@ from paperlake.session import partitions, prepare, shared_dir
 
 N, LEAST = 2, 0.7
 PIECES = 3
+#: Sets of SMALL or more features leave out projections on fewer than FEW of them: what common n-grams
+#: alone make up. They have SMALL / 6 parts and more, of which any one suffices.
+SMALL, FEW = 64, 3
 #: Ids up to this many are sent to every task (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
 _FEATURE_BITS = 44
@@ -62,7 +65,7 @@ def feature_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def signatures(row: np.ndarray, feature: np.ndarray, rows: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows' non-empty projections, for a set's own band and the next."""
+    """(row, signature) of all rows' projections, for a set's own band and the next; empty ones are left out."""
     size = np.bincount(row, minlength=rows)
     low, parts = bands(least, int(size.max(initial=1)))
     own = np.searchsorted(low, size, "right") - 1
@@ -80,8 +83,9 @@ def signatures(row: np.ndarray, feature: np.ndarray, rows: int, least: float) ->
         count = np.bincount(cell, minlength=cells).reshape(-1, PIECES)
         of = np.repeat(np.arange(rows), n1)
         part = np.arange(int(base[-1])) - base[of]
+        needed = np.where(size[of] < SMALL, 1, FEW)
         for left_out in range(PIECES):
-            some = count.sum(axis=1) > count[:, left_out]
+            some = count.sum(axis=1) - count[:, left_out] >= needed
             tag = mix((band[of[some]].astype(U) << U(40)) ^ (part[some].astype(U) << U(4)) ^ U(left_out + 1))
             out_row.append(of[some])
             out_sig.append(mix((total[some].sum(axis=1, dtype=U) - total[some, left_out]) ^ tag))
@@ -200,6 +204,7 @@ def components(edges: DataFrame, keep) -> DataFrame:
     """
     # An edge (u, v) has u > v.
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -208,8 +213,8 @@ def components(edges: DataFrame, keep) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         new = keep(small)
-        changed = new.exceptAll(now).limit(1).count() or now.exceptAll(new).limit(1).count()
-        now = new
+        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        now, before, changed = new, state, state != before
         if not changed:
             return now.select(F.col("u").alias("doc"), F.col("v").alias("root"))
 
