@@ -113,6 +113,6 @@ s AS (SELECT *, len(list_intersect(a, b)) AS k, len(list_intersect(x, y)) AS g F
 SELECT conv_id, turn, round(CASE WHEN len(a) > 0 THEN k / len(a) ELSE 0.0 END, 9) AS "precision", round(CASE WHEN len(b) > 0 THEN k / len(b) ELSE 0.0 END, 9) AS recall,
  round(CASE WHEN len(a) + len(b) - k > 0 THEN k / (len(a) + len(b) - k) ELSE 0.0 END, 9) AS jaccard, round(CASE WHEN len(x) + len(y) - g > 0 THEN g / (len(x) + len(y) - g) ELSE 0.0 END, 9) AS trigram,
  CAST(length(text) - length(replace(text, chr(65533), '')) AS BIGINT) AS undecoded FROM s""",
-    "affine_boxes": """SELECT l_orderkey, l_linenumber, -2.0 * l_linenumber + 5 AS x0, CAST(7.0 AS DOUBLE) AS y0, CAST(5.0 AS DOUBLE) AS x1, 2.0 * l_quantity + 7 AS y1,
+    "affine_boxes": """SELECT l_orderkey, l_linenumber, CAST(-2.0 * l_linenumber + 5 AS DOUBLE) AS x0, CAST(7.0 AS DOUBLE) AS y0, CAST(5.0 AS DOUBLE) AS x1, CAST(2.0 * l_quantity + 7 AS DOUBLE) AS y1,
  CAST(floor(l_discount * 255 + 0.5) AS BIGINT) * 65536 + CAST(floor(l_tax * 255 + 0.5) AS BIGINT) * 256 + CAST(floor(least(l_quantity / 100, 1.0) * 255 + 0.5) AS BIGINT) AS colour FROM lineitem""",
 }
