@@ -21,6 +21,8 @@ VOID = frozenset("area base br col embed frame hr img input link meta param sour
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset(("title", "textarea"))
 HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist area base link meta param source track map title".split())
+#: Ended by their end tag only, over the blocks that began inside them.
+FORMATTING = frozenset("a b big code em font i nobr s small span strike strong tt u label sub sup mark q cite abbr".split())
 #: Blocks with a blank line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figure hr form fieldset article section header footer main aside nav address details xmp listing".split())
 BLOCK = SPACED | frozenset("html body div li dt dd tr td th caption thead tbody tfoot center dialog figcaption hgroup legend optgroup option search summary".split())
@@ -84,6 +86,14 @@ def build(html: str) -> Node:
                 stack[-1].children.append(Node("br"))
             elif tag in ("html", "body"):
                 pass
+            elif tag in FORMATTING:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        inner = any(e.tag in BLOCK for e in stack[i + 1 :])
+                        del stack[i : i + 1 if inner else None]  # blocks begun inside it go on
+                        break
+                    if stack[i].tag in ("td", "th", "caption", "table"):
+                        break
             else:
                 close((tag,), ("table",) if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("table", "td", "th", "caption") if tag != "table" else ())
             continue

@@ -157,7 +157,7 @@ def find_originals(heads: DataFrame, order: list[str]) -> DataFrame:
     record_id, stays one; others become revisits of it. Combined before the shuffle, so a payload
     that millions of pages share makes no hot task on its way to the minimum.
     """
-    rank = F.struct(*order, "record_id", "uri", "date")
+    rank = F.struct(*[F.col(c).alias(f"by_{c}") for c in order], "record_id", "uri", "date")
     first = heads.where(F.col("type") == "response").groupBy("digest").agg(F.min(rank).alias("first"))
     own = heads.select("record_id", "type", "digest").distinct()
     joined = own.join(first, "digest", "left")
