@@ -25,6 +25,8 @@ PEOPLE_RIGHT = 0.97
 PREFIX = 6
 #: Each labeller is taken to abstain at least this often in every class.
 LEAST_ABSTAINING = 0.2
+#: Features of the sample that a training step looks at together.
+BLOCK = 1 << 20
 #: Weight of a text's hashed features, which are shares, against the votes.
 TEXT_SCALE = 40.0
 #: Words by which short texts are taken to be longer, so that a single word decides little.
@@ -236,21 +238,31 @@ def train(sample: list, rounds: int = 40) -> np.ndarray:
     if not sample:
         weights[BUCKETS:, 0] = 1.0
         return weights
-    ids = np.concatenate([np.frombuffer(s.ids, "<i4") for s in sample])
-    values = np.concatenate([np.frombuffer(s.values, "<f4") for s in sample])
-    doc = np.repeat(np.arange(len(sample)), [len(s.ids) // 4 for s in sample])
+    n = len(sample)
+    cut = np.r_[0, np.cumsum([len(s.ids) // 4 for s in sample])]
     q = np.stack([np.frombuffer(s.q, "<f8") for s in sample])
-    used, ids = np.unique(ids, return_inverse=True)
+    cls = np.array([s.cls for s in sample])
+    ids, values = np.frombuffer(b"".join(s.ids for s in sample), "<i4"), np.frombuffer(b"".join(s.values for s in sample), "<f4")
+    sample.clear()
+    seen = np.zeros(size, bool)
+    seen[ids] = True
+    used = np.flatnonzero(seen)
+    ids = (np.cumsum(seen, dtype=np.int32) - 1)[ids]
     w, g2 = np.zeros((len(used), 3)), past[: len(used)]
-    each = np.bincount(np.array([s.cls for s in sample]), minlength=3)
-    balance = (1 / np.maximum(each, 1))[[s.cls for s in sample]]
+    balance = 1 / np.maximum(np.bincount(cls, minlength=3), 1)[cls]
     balance /= balance.sum()
+    # Blocks of documents bound what is held besides the sample itself.
+    blocks = np.unique(np.r_[np.searchsorted(cut, np.arange(0, cut[-1], BLOCK)), n])
     for _ in range(rounds):
-        z = np.stack([np.bincount(doc, w[ids, c] * values, len(sample)) for c in range(3)], axis=1)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        d = (p - q) * balance[:, None]
-        g = np.stack([np.bincount(ids, d[doc, c] * values, len(used)) for c in range(3)], axis=1) + 1e-5 * w
+        g = 1e-5 * w
+        for a, b in zip(blocks[:-1], blocks[1:]):
+            own, x = ids[cut[a] : cut[b]], values[cut[a] : cut[b]]
+            doc = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(cut[a : b + 1]))
+            z = np.stack([np.bincount(doc, w[own, c] * x, b - a) for c in range(3)], axis=1)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            d = (p - q[a:b]) * balance[a:b, None]
+            g += np.stack([np.bincount(own, d[doc, c] * x, len(used)) for c in range(3)], axis=1)
         g2 += g * g
         w -= 0.3 * g / np.sqrt(g2)
     weights[used] = w
