@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import text as fn
 from paperlake.session import prepare, shared_dir
-from paperlake.sources.reader import Corpus, parse_files
+from paperlake.sources.reader import Corpus, parse_files, parse_properties
 from paperlake.sources.writer import text_pdf
 
 COLUMNS, ROWS = 60, 50
@@ -29,7 +29,8 @@ def _write_rows(batches):
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): each document as a PDF of 60 x 50 characters a page."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(_write_rows, "path string, content binary")
+    # Parsing costs far more than moving the text, which may come from a few large row groups.
+    return docs.select(F.col("doc_id").cast("string"), "text").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_write_rows, "path string, content binary")
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -37,7 +38,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def pdf_documents(spark, sf_dir):
-    return _corpus(spark, sf_dir).documents.select("path", "page_count", "pdf_version", "is_encrypted", "is_linearized", F.col("metadata.title").alias("title"), "error")
+    return parse_properties(document_files(spark, sf_dir)).select("path", "page_count", "pdf_version", "is_encrypted", "is_linearized", F.col("metadata.title").alias("title"), "error")
 
 
 def pdf_chars(spark, sf_dir):
@@ -52,7 +53,7 @@ def pdf_page_text(spark, sf_dir):
 
 def pdf_corpus_report(spark, sf_dir):
     """Documents and pages by number of pages, and percentiles of their length."""
-    c = _corpus(spark, sf_dir).documents
+    c = parse_properties(document_files(spark, sf_dir))
     return c.agg(F.count("*").alias("n"), F.sum("page_count").alias("pages"), F.avg("page_count").alias("mean"), F.percentile("page_count", F.lit(0.5)).alias("p50"), F.percentile("page_count", F.lit(0.95)).alias("p95"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 

@@ -54,7 +54,7 @@ def _stub(error: str) -> dict:
     return {"rect": PAGE, "font": "Helvetica", "flags": 0, "chars": [], "image_refs": [], "images": [], "type3_char_count": 0, "undecoded_byte_count": 0, "inline_image_count": 0, "error": error, "links": []}
 
 
-def read(data: bytes, images: bool = True) -> dict:
+def read(data: bytes, images: bool = True, content: bool = True) -> dict:
     """Document properties with pages, links and outline; a page that fails is an empty one with its error."""
     out = {"page_count": 0, "pdf_version": None, "is_encrypted": False, "is_linearized": False, "metadata": dict.fromkeys(METADATA), "error": None, "pages": [], "toc": []}
     try:
@@ -63,7 +63,7 @@ def read(data: bytes, images: bool = True) -> dict:
     except _FAULTS as e:
         return out | {"error": str(e)}
     places, fonts = Places(doc, pages), {}
-    for ref in pages:
+    for ref in pages if content else []:
         try:
             page = _page(doc, ref, fonts, images)
         except _FAULTS as e:
@@ -74,7 +74,7 @@ def read(data: bytes, images: bool = True) -> dict:
             page["links"] = []
         out["pages"].append(page)
     try:
-        out["toc"] = outline(doc, places)
+        out["toc"] = outline(doc, places) if content else []
     except _FAULTS:
         out["toc"] = []
     return out | {"page_count": len(pages), "pdf_version": doc.version(), "is_encrypted": doc.trailer.get(b"Encrypt") is not None, "is_linearized": doc.linearized(), "metadata": doc.metadata()}

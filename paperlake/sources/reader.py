@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +32,40 @@ DDL = (
 )
 
 
-def _rows(images: bool):
+_BARE = pa.schema([f if f.name != "pages" else pa.field("pages", pa.list_(pa.struct([g for g in _PAGE if g.name != "chars"]))) for f in _SCHEMA])
+
+
+def _batch(path: str, got: dict) -> pa.RecordBatch:
+    """One file's row. Characters are many, so they are set column by column."""
+    chars = [p.pop("chars") for p in got["pages"]]
+    for page in got["pages"]:
+        page["image_refs"] = [i._asdict() for i in page["image_refs"]]
+    bare = pa.RecordBatch.from_pylist([{"path": path, **got}], schema=_BARE)
+    kinds = list(_CHARS.value_type)
+    columns = list(zip(*(c for page in chars for c in page))) or [[]] * len(kinds)
+    borders = np.cumsum([0, *map(len, chars)]).astype(np.int32)
+    own = pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, kinds)], fields=kinds))
+    flat = bare.column("pages").values
+    pages = pa.StructArray.from_arrays([own if f.name == "chars" else flat.field(f.name) for f in _PAGE], fields=list(_PAGE))
+    whole = pa.ListArray.from_arrays(pa.array([0, len(pages)], pa.int32()), pages)
+    return pa.RecordBatch.from_arrays([whole if f.name == "pages" else bare.column(f.name) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _rows(images: bool, content: bool = True):
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = read(content.as_buffer().to_pybytes() if content.is_valid else b"", images)
-                for page in got["pages"]:
-                    for key in ("chars", "image_refs"):
-                        page[key] = [c._asdict() for c in page[key]]
-                yield pa.RecordBatch.from_pylist([{"path": path, **got}], schema=_SCHEMA)
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield _batch(path, read(raw.as_buffer().to_pybytes() if raw.is_valid else b"", images, content))
 
     return run
 
 
+def parse_properties(files: DataFrame) -> DataFrame:
+    """The documents table alone: pages are counted but not read."""
+    prepare(files.sparkSession)
+    return Corpus(files.select(F.col("path").cast("string"), "content").mapInArrow(_rows(False, False), DDL)).documents
+
+
 def parse_files(files: DataFrame, images: bool = True) -> DataFrame:
     """One row per file (path, content) with everything nested; a bad file has an error and no pages."""
     prepare(files.sparkSession)
