@@ -137,6 +137,7 @@ def _open_rows(batches):
 
 def read_archives(paths: DataFrame) -> DataFrame:
     """Records of the archives whose URIs the column `path` has; files are streamed, not held."""
+    # Spark takes the records to be as few as the paths; joins of them below are hinted, or it would broadcast them.
     return paths.select(F.col("path").cast("string")).mapInArrow(_open_rows, RECORD)
 
 
@@ -160,7 +161,7 @@ def find_originals(heads: DataFrame, order: list[str]) -> DataFrame:
     rank = F.struct(*[F.col(c).alias(f"by_{c}") for c in order], "record_id", "uri", "date")
     first = heads.where(F.col("type") == "response").groupBy("digest").agg(F.min(rank).alias("first"))
     own = heads.select("record_id", "type", "digest").distinct()
-    joined = own.join(first, "digest", "left")
+    joined = own.hint("merge").join(first.hint("merge"), "digest", "left")
     same = F.col("first.record_id") == F.col("record_id")
     later = (F.col("type") == "revisit") | ~same
     to = lambda c: F.when(later, F.col(f"first.{c}"))
@@ -175,7 +176,7 @@ def deduplicate(records: DataFrame, order: list[str]) -> DataFrame:
     plan = find_originals(records.drop("payload"), order)
     old = [c for c in ("refers_to_id", "refers_to_uri", "refers_to_date")]
     kept = records.select(*[F.col(c).alias(f"old_{c}") if c in (*old, "type") else F.col(c) for c in _NAMES]).dropDuplicates(["record_id"])
-    out = kept.join(plan, "record_id")
+    out = kept.hint("merge").join(plan.hint("merge"), "record_id")
     return out.select(*[(F.when(F.col("type") != "revisit", F.col("payload")).alias("payload") if c == "payload" else F.coalesce(c, f"old_{c}").alias(c) if c in old else F.col(c)) for c in _NAMES])
 
 
@@ -229,7 +230,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Records with refers_to_id, refers_to_uri and refers_to_date of the response that each revisit repeats, found by digest."""
     heads = records.drop("payload")
     first = heads.where("type = 'response'").groupBy("digest").agg(F.min(F.struct("date", "record_id", "uri")).alias("first"))
-    return records.drop("refers_to_id", "refers_to_uri", "refers_to_date").join(first, "digest", "left").select(*[c for c in _NAMES if not c.startswith("refers")], *[F.when(F.col("type") == "revisit", F.col(f"first.{c}")).alias(f"refers_to_{n}") for c, n in (("record_id", "id"), ("uri", "uri"), ("date", "date"))])
+    return records.drop("refers_to_id", "refers_to_uri", "refers_to_date").hint("merge").join(first.hint("merge"), "digest", "left").select(*[c for c in _NAMES if not c.startswith("refers")], *[F.when(F.col("type") == "revisit", F.col(f"first.{c}")).alias(f"refers_to_{n}") for c, n in (("record_id", "id"), ("uri", "uri"), ("date", "date"))])
 
 
 def resolve_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -253,7 +254,7 @@ def resolve_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     heads = back.select("record_id", "type", "digest", F.length("payload").cast("long").alias("bytes"))
     originals = heads.where("type = 'response'").groupBy("digest").agg(F.first("record_id").alias("of"), F.first("bytes").alias("payload_bytes"))
     ids = rows.select("page_id", F.col("uri").alias("url"), "record_id").distinct()
-    resolved = heads.drop("bytes").join(originals, "digest").join(ids, "record_id").join(ids.select(F.col("record_id").alias("of"), F.col("page_id").alias("first_page")), "of")
+    resolved = heads.drop("bytes").hint("merge").join(originals.hint("merge"), "digest").hint("merge").join(ids.hint("merge"), "record_id").hint("merge").join(ids.select(F.col("record_id").alias("of"), F.col("page_id").alias("first_page")).hint("merge"), "of")
     return resolved.select("page_id", "url", F.col("type").alias("record_type"), F.substring("digest", 6, 40).alias("digest"), F.when(F.col("type") == "revisit", F.col("first_page")).alias("refers_to_page"), "payload_bytes")
 
 
