@@ -255,6 +255,18 @@ def test_quality_rules_brute_force(make):
             assert r.score is None and not r.keep and r.n_features == 0
 
 
+@pytest.mark.parametrize("buckets", [1 << 13, 1 << 10])
+def test_quality_rules_in_corpora_larger_than_the_buckets(spark, monkeypatch, buckets):
+    """N-grams by the hundred in a bucket stand for larger corpora: junk and clean documents stay on their sides."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    monkeypatch.setattr(quality_rules, "SLICE", 1000)  # a model of several files
+    out = quality_rules.score_documents(spark.read.parquet(f"{sf}/documents.parquet"), quality_rules.trusted_documents(labels), buckets=buckets)
+    got = out.join(labels, "doc_id").toPandas()
+    clean, junk = got[(got.quality == 1) & (got.toxic == 0)], got[got.quality == 0]
+    assert clean.keep.mean() > 0.98 and junk.keep.mean() < 0.03
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
