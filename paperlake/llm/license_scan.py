@@ -27,6 +27,18 @@ IDS = {
     **dict.fromkeys("GPL-1.0 GPL-2.0 GPL-3.0 AGPL-1.0 AGPL-3.0 EUPL-1.1 EUPL-1.2 OSL-3.0 CC-BY-SA-3.0 CC-BY-SA-4.0".split(), 2),
     **dict.fromkeys("CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC-BY-ND-4.0 CC-BY-ND-3.0 BUSL-1.1 SSPL-1.0 LicenseRef-Proprietary".split(), 3),
 }
+_CC = {
+    "by": ("attribution",),
+    "by-sa": ("attribution-sharealike", "attribution-share alike", "attribution share alike", "attribution sharealike"),
+    "by-nd": ("attribution-noderivatives", "attribution-noderivs", "attribution-no derivatives", "attribution-no derivative works"),
+    "by-nc": ("attribution-noncommercial", "attribution-non-commercial", "attribution noncommercial", "attribution non-commercial"),
+    "by-nc-sa": ("attribution-noncommercial-sharealike", "attribution-non-commercial-sharealike", "attribution-noncommercial-share alike"),
+    "by-nc-nd": ("attribution-noncommercial-noderivatives", "attribution-noncommercial-noderivs", "attribution-non-commercial-noderivatives", "attribution-non-commercial-noderivs"),
+}
+_CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: Names without a version stand for their family.
+IDS |= dict.fromkeys(("Apache", "BSD"), 0) | dict.fromkeys(("LGPL", "MPL", "EPL"), 1) | dict.fromkeys(("GPL", "AGPL"), 2)
+IDS |= {f"CC-{k.upper()}{v}": 0 if k == "by" else 2 if k == "by-sa" else 3 for k in _CC for v in ("", *(f"-{v}" for v in _CC_VERSIONS))}
 _KNOWN = {i.lower(): i for i in IDS}
 LINKING = {"classpath-exception-2.0", "gcc-exception-2.0", "gcc-exception-3.1", "linux-syscall-note", "llvm-exception", "openjdk-assembly-exception-1.0", "autoconf-exception-3.0", "bison-exception-2.2", "font-exception-2.0"}
 
@@ -35,21 +47,44 @@ def _versions(names: list[str], licence: str, versions: tuple[str, ...], forms:
     return {f.format(n=n, v=v): f"{licence}-{v if '.' in v else v + '.0'}" for n in names for v in versions for f in forms}
 
 
-_FORMS = ("{n}, version {v}", "{n} version {v}", "{n} v{v}", "{n} {v}", "version {v} of the {n}")
+_FORMS = ("{n}, version {v}", "{n} version {v}", "{n} v{v}", "{n} {v}", "version {v} of the {n}", "{n}, v. {v}", "{n} v. {v}", "{n}, v{v}", "{n} (version {v}", "{n} (v{v}")
+#: The headers that the Free Software Foundation asks for.
+_FSF = tuple(f"{{n}} as published by the free software foundation{x} version {{v}}" for x in (",", ";", ", either", "; either", " either", ""))
+_GNU = {"GPL": ("general", ("1", "2", "3", "1.0", "2.0", "3.0")), "LGPL": ("lesser general", ("2.1", "3", "3.0")), "AGPL": ("affero general", ("1", "3", "1.0", "3.0"))}
+#: Stands in BSD texts of any number of clauses; two unless others are there.
+_BSD_TEXT = "redistribution and use in source and binary forms"
+_ISC_TEXT = "this software for any purpose with or without fee is hereby granted"
 PHRASES = {
     **{p: "MIT" for p in ("mit license", "mit licence", "permission is hereby granted, free of charge, to any person obtaining a copy")},
     **_versions(["apache license", "apache licence"], "Apache", ("2.0", "1.1"), _FORMS),
     **_versions(["gnu general public license", "gnu general public licence", "gnu gpl"], "GPL", ("1", "2", "3", "1.0", "2.0", "3.0"), _FORMS),
     **_versions(["gnu lesser general public license", "gnu lesser general public licence", "gnu lgpl"], "LGPL", ("2.1", "3", "3.0"), _FORMS),
     **_versions(["gnu affero general public license", "gnu affero general public licence", "gnu agpl"], "AGPL", ("3", "3.0"), _FORMS),
+    **{p: k for k, (g, _) in _GNU.items() for n in ("license", "licence") for p in (f"gnu {g} public {n}", f"gnu {k.lower()}", f"{k.lower()} {n}")},
+    **{p: i for k, (g, vs) in _GNU.items() for p, i in _versions([f"gnu {g} public license", f"gnu {g} public licence"], k, vs, _FSF).items()},
+    **{p: i for k, (_, vs) in _GNU.items() for p, i in _versions([k.lower(), f"gnu {k.lower()}"], k, vs, ("{n}v{v}", "{n} v{v}", "{n}-{v}", "{n} version {v}")).items()},
+    **_versions(["gnu affero general public license", "gnu agpl"], "AGPL", ("1", "1.0"), _FORMS),
+    **_versions(["gnu library general public license", "gnu library general public licence"], "LGPL", ("2", "2.0"), _FORMS + _FSF),
+    **_versions(["gnu lesser general public license", "gnu lesser general public licence", "gnu lgpl"], "LGPL", ("2", "2.0"), _FORMS + _FSF),
+    **{f"{n} licen{x}e": k for n, k in (("apache", "Apache"), ("mozilla public", "MPL"), ("eclipse public", "EPL"), ("bsd", "BSD")) for x in "cs"},
     **_versions(["mozilla public license", "mozilla public licence"], "MPL", ("1.1", "2.0"), _FORMS),
     **_versions(["eclipse public license", "eclipse public licence"], "EPL", ("1.0", "2.0"), _FORMS),
     **{f"cc {k} {v}": f"CC-{k.upper()}-{v}" for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("3.0", "4.0")},
     **{f"cc-{k}-{v}": f"CC-{k.upper()}-{v}" for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("3.0", "4.0")},
-    **{p: "CC0-1.0" for p in ("cc0 1.0", "cc0-1.0", "creative commons zero")},
+    **{f"cc {k}": f"CC-{k.upper()}" for k in _CC if k != "by"},
+    **{f"cc-{k}": f"CC-{k.upper()}" for k in _CC},
+    **{f"cc{x}{k}{y}{v}": f"CC-{k.upper()}-{v}" for k in _CC for v in _CC_VERSIONS for x, y in ((" ", " "), ("-", "-"), ("-", " "))},
+    **{f"creative commons {n}": f"CC-{k.upper()}" for k, ns in _CC.items() for n in ns},
+    **{f"creative commons {n} {x}{v}": f"CC-{k.upper()}-{v}" for k, ns in _CC.items() for n in ns for v in _CC_VERSIONS for x in ("", "version ", "license ", "licence ", "(")},
+    **{p: "CC0-1.0" for p in ("cc0 1.0", "cc0-1.0", "cc0", "creative commons zero")},
     **{p: "BSD-3-Clause" for p in ("3-clause bsd license", "bsd 3-clause license", "new bsd license")},
     **{p: "BSD-2-Clause" for p in ("2-clause bsd license", "bsd 2-clause license", "simplified bsd license")},
-    **{p: "ISC" for p in ("isc license", "isc licence")},
+    _BSD_TEXT: "BSD-2-Clause",
+    **{p: "BSD-3-Clause" for p in ("may be used to endorse or promote products derived from this software", "bsd-3-clause", "bsd-3-clause license")},
+    **{p: "BSD-4-Clause" for p in ("all advertising materials mentioning features or use of this software",)},
+    "bsd-2-clause": "BSD-2-Clause",
+    **{p: "ISC" for p in ("isc license", "isc licence", "permission to use, copy, modify, and/or distribute", f"permission to use, copy, modify, and distribute {_ISC_TEXT}")},
+    f"permission to use, copy, modify, and/or distribute {_ISC_TEXT}.": "0BSD",
     **{p: "Unlicense" for p in ("released into the public domain", "the unlicense")},
     **{p: "LicenseRef-Proprietary" for p in ("all rights reserved", "proprietary and confidential")},
 }
@@ -121,39 +156,43 @@ def _automaton() -> ahocorasick.Automaton:
     if not _automata:
         a = ahocorasick.Automaton()
         for p, licence in [(TAG, ""), *PHRASES.items()]:
-            a.add_word(p, (len(p), licence))
+            a.add_word(p, (len(p), licence, p == _BSD_TEXT))
         a.make_automaton()
         _automata.append(a)
     return _automata[0]
 
 
-_RUN = re.compile(r" *\n *| {2,}")
+#: A line's end with the marks of comments that begin the next one.
+_RUN = re.compile(r" *\n[ */#;%]*| {2,}")
+_BROKEN = re.compile(r"  | \n|\n[ */#;%]")
 _BLANKS = str.maketrans("\t\r\f\v\xa0", "     ")
 
 
 def scan(text: str) -> tuple[list[str], str | None, int, int | None]:
     """(ids, expression of all tags, notices, category or None if the text names no licence)."""
     lines = text.lower().translate(_BLANKS)
-    if "  " in lines or " \n" in lines or "\n " in lines:
+    if _BROKEN.search(lines):
         lines = _RUN.sub(lambda m: "\n" if "\n" in m[0] else " ", lines)
     flat = lines.replace("\n", " ")
     found = []
-    for end, (size, licence) in _automaton().iter(flat):
+    for end, (size, licence, bsd) in _automaton().iter(flat):
         begin, end = end + 1 - size, end + 1
         if begin and flat[begin - 1].isalnum() or licence and end < len(flat) and (flat[end].isalnum() or flat[end : end + 2].startswith(".") and flat[end + 1 : end + 2].isdigit()):
             continue
         while found and found[-1][0] >= begin:  # a longer one has it all
             found.pop()
         if not (found and found[-1][1] >= end):
-            found.append((begin, end, licence))
+            found.append((begin, end, licence, bsd))
     if not found:
         return [], None, 0, None
     ids, tags, category, notices, past = set(), [], 0, 0, 0
-    for begin, end, licence in found:
+    clauses = any(licence in ("BSD-3-Clause", "BSD-4-Clause") for _, _, licence, _ in found)
+    for begin, end, licence, bsd in found:
         if begin < past:  # inside a tag's expression
             continue
         if licence:
-            ids.add(licence)
+            if not (bsd and clauses):
+                ids.add(licence)
             category, notices = max(category, IDS[licence]), notices + 1
             continue
         past = lines.find("\n", end)

@@ -312,3 +312,26 @@ def test_licence_scan_finds_what_regexes_find(spark):
                 want[r.doc_id].add(licence)
     got = {r.doc_id: set(r.licenses) for r in license_scan.scan_licenses(docs).where("category IS NOT NULL").collect()}
     assert got.keys() >= want.keys() and all(got[i] >= s for i, s in want.items())
+
+
+@pytest.mark.parametrize(
+    ("notice", "licences"),
+    [
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL", ["MPL-2.0"]),
+        ("under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or", ["GPL-3.0"]),
+        ("terms of the GNU General Public License as published by the Free Software Foundation; either version 2\nof the License", ["GPL-2.0"]),
+        ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", ["LGPL-2.1"]),
+        ("GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", ["AGPL-3.0"]),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", ["BSD-2-Clause"]),
+        ("Redistribution and use in source and binary forms. The name may not be used; names may be used to endorse or promote products derived from this software", ["BSD-3-Clause"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", ["ISC"]),
+        ("Creative Commons Attribution 4.0 International", ["CC-BY-4.0"]),
+        ("a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", ["CC-BY-NC-SA-3.0"]),
+        ("free under GPLv3.", ["GPL-3.0"]),
+        ("This is GNU GPL code", ["GPL"]),
+        ("GNU General Public License, version 3", ["GPL-3.0"]),
+    ],
+)
+def test_standard_licence_headers(notice, licences):
+    got, _, notices, category = license_scan.scan(notice)
+    assert got == licences and notices and category == max(license_scan.IDS[i] for i in licences)
