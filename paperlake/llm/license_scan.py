@@ -1,7 +1,7 @@
 """Licence scan (operator 9).
 
 One Aho-Corasick automaton finds identifier tags and notice phrases in a single pass over each text.
-What follows a tag on its line is a licence expression, which a shunting-yard parser turns into
+The longest well-formed licence expression that follows a tag on its line is the tag's, which a shunting-yard parser turns into
 postfix order and evaluates: AND takes the stricter side, OR the freer one, and WITH an exception
 that permits linking makes strong copyleft weak.
 """
@@ -126,6 +126,39 @@ def postfix(expression: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
+_NEXT = re.compile(r"[ \t]*(\(|\)|[a-z0-9]+(?:[.:+-]+[a-z0-9]+)*\+?)")
+_OPENING = re.compile(r"[ \"'`<>=]*")
+
+
+def expression_at(line: str, at: int = 0) -> tuple[int, int]:
+    """(begin, end) of the longest well-formed expression that begins at `at`; without one, of the tokens that could have begun it.
+
+    A plain word that is no known id, stands after an operator and is followed by another word is prose.
+    """
+    begin = at = _OPENING.match(line, at).end()
+    depth, operand, waiting, goods = 0, True, "", []
+    while m := _NEXT.match(line, at):
+        t = m[1]
+        if t == "(" or t not in _BINDS and t != ")":
+            if not operand:
+                while len(goods) > 1 and goods[-1][1] and t != "(":
+                    goods.pop()
+                break
+            depth, operand = depth + (t == "("), t == "("
+        elif t == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif operand:
+            break
+        else:
+            operand, waiting = True, t
+        at = m.end()
+        if not operand and not depth:
+            goods.append((at, bool(waiting) and t.isalpha() and _plain(t) not in IDS))
+    return begin, goods[-1][0] if goods else at
+
+
 def _plain(name: str) -> str:
     """The id without the marks for later versions."""
     name = name.removesuffix("+").removesuffix("-or-later").removesuffix("-only")
@@ -195,9 +228,8 @@ def scan(text: str) -> tuple[list[str], str | None, int, int | None]:
                 ids.add(licence)
             category, notices = max(category, IDS[licence]), notices + 1
             continue
-        past = lines.find("\n", end)
-        past = len(lines) if past < 0 else past
-        tag = lines[end:past].strip(" */#-<>!;\"'")
+        start, past = expression_at(lines, end)
+        tag = lines[start:past]
         rank, own = evaluate(postfix(tag))
         ids.update(own)
         tags.append(tag)

@@ -335,3 +335,23 @@ def test_licence_scan_finds_what_regexes_find(spark):
 def test_standard_licence_headers(notice, licences):
     got, _, notices, category = license_scan.scan(notice)
     assert got == licences and notices and category == max(license_scan.IDS[i] for i in licences)
+
+
+@pytest.mark.parametrize(
+    ("text", "licences", "expression", "category"),
+    [
+        ("SPDX-License-Identifier: MIT */ int x; under the GNU GPL version 3", ["GPL-3.0", "MIT"], "mit", 2),
+        ("SPDX-License-Identifier: MIT then some prose and CC BY-NC 4.0", ["CC-BY-NC-4.0", "MIT"], "mit", 3),
+        ("<!-- SPDX-License-Identifier: (MIT OR GPL-2.0) AND ISC --> text", ["GPL-2.0", "ISC", "MIT"], "(mit or gpl-2.0) and isc", 0),
+        ("SPDX-License-Identifier: MIT and this is prose. Apache License, Version 2.0", ["Apache-2.0", "MIT"], "mit", 0),
+        ("SPDX-License-Identifier: MIT OR Ruby\nint x;", ["MIT", "ruby"], "mit or ruby", 0),
+        ("SPDX-License-Identifier: MIT.", ["MIT"], "mit", 0),
+        ("SPDX-License-Identifier: (MIT; GNU GPL version 3", ["GPL-3.0"], "(mit", 4),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC", ["ISC", "MIT"], "(mit) and (isc)", 0),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 (text)", ["GPL-2.0"], "gpl-2.0 with classpath-exception-2.0", 1),
+        ("SPDX-License-Identifier:\nMIT License", ["MIT"], "", 4),
+    ],
+)
+def test_licence_tag_ends_where_its_expression_ends(text, licences, expression, category):
+    got = license_scan.scan(text)
+    assert (got[0], got[1] or "", got[3]) == (licences, expression, category)
