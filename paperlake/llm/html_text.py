@@ -20,7 +20,13 @@ from paperlake.session import prepare
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset(("title", "textarea"))
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist area base link meta param source track map title".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist area base link meta param source track map title".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements of SVG and MathML that show nothing where they stand.
+UNSHOWN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+#: HTML goes on inside these, and these HTML elements end what they don't stand in.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Ended by their end tag only, over the blocks that began inside them.
 FORMATTING = frozenset("a b big code em font i nobr s small span strike strong tt u label sub sup mark q cite abbr".split())
 #: Blocks with a blank line before and after.
@@ -55,6 +61,7 @@ def build(html: str) -> Node:
     """The tree; text is a str child, entities are resolved."""
     root = Node("html")
     stack = [root]
+    foreign = False  # whether SVG or MathML was met
     at, n = 0, len(html)
 
     def text(raw: str) -> None:
@@ -98,6 +105,19 @@ def build(html: str) -> Node:
                 close((tag,), ("table",) if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("table", "td", "th", "caption") if tag != "table" else ())
             continue
         attributes = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in reversed(_ATTRIBUTE.findall(m[3]))} if m[3] else {}
+        inside = None
+        if foreign:
+            inside = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in FOREIGN or stack[k].tag in INTEGRATION), None)
+            if inside is not None and stack[inside].tag in INTEGRATION and not any(e.tag in FOREIGN for e in stack[:inside]):
+                inside = None
+            if inside is not None and stack[inside].tag in FOREIGN and tag in BREAKOUT:
+                while stack[inside - 1].tag not in INTEGRATION and any(e.tag in FOREIGN for e in stack[:inside]):
+                    inside -= 1
+                del stack[inside:]
+                inside = None
+            if inside is not None and (tag in UNSHOWN or attributes.get("display") == "none" or attributes.get("visibility") in ("hidden", "collapse")):
+                attributes["hidden"] = ""
+        foreign = foreign or tag in FOREIGN
         if tag in ("html", "body"):
             close(CLOSES.get(tag, ()), ())
             owner = next((e for e in stack if e.tag == tag), None)
@@ -127,7 +147,7 @@ def build(html: str) -> Node:
             if body:
                 node.children.append(unescape(body) if tag in ESCAPABLE else body)
             at = end.end()
-        elif tag not in VOID and len(stack) < DEPTH and not (m[3].endswith("/") and tag in ("svg", "path")):
+        elif tag not in VOID and len(stack) < DEPTH and not (m[3].endswith("/") and (inside is not None or tag in FOREIGN or tag == "path")):
             stack.append(node)
     return root
 
@@ -202,13 +222,35 @@ def _render(node: Node, pre: bool, flow: _Flow) -> None:
         elif tag == "input":
             if child.attributes.get("type", "text").lower() in ("submit", "button", "reset") and child.attributes.get("value"):
                 flow.words(child.attributes["value"], False)
+        elif tag == "svg":
+            _labels(child, flow)
         elif tag in BLOCK:
             flow.end()
             flow.add(_block(child, pre), tag in SPACED)
+        elif tag in ("mtd", "mfrac"):
+            for part in [child.children] if tag == "mtd" else [[c] for c in child.children]:
+                apart = Node(tag)
+                apart.children = part
+                flow.words(" ", False)
+                _render(apart, pre, flow)
+            flow.words(" ", False)
         else:
             _render(child, pre or tag == "textarea", flow)
 
 
+def _labels(node: Node, flow: _Flow) -> None:
+    """The texts of a drawing, apart from each other; strings outside of them aren't shown."""
+    for child in node.children:
+        if isinstance(child, str) or not visible(child):
+            continue
+        if child.tag in ("text", "foreignobject"):
+            flow.words(" ", False)
+            _render(child, False, flow)
+            flow.words(" ", False)
+        else:
+            _labels(child, flow)
+
+
 def _strip(lines: list[str]) -> list[str]:
     a, b = 0, len(lines)
     while a < b and not lines[a].strip():

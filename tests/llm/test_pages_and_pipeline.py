@@ -119,3 +119,18 @@ def test_pipeline_stages(spark):
     assert ids[4] == ids[3] - leaks
     final = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in final.collect()} == ids[4] and final.where("NOT round_trip").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>.</p>", "Let x= 1 2 ."),
+        ("<p><math><semantics><mi>y</mi><annotation encoding='TeX'>\\\\y</annotation></semantics></math> holds</p>", "y holds"),
+        ("<p>A <svg><title>t</title><desc>d</desc><defs><text>no</text></defs>loose<g><circle r='1'/><text x='1'>Jan<tspan>uary</tspan></text><text>Feb</text></g><text display='none'>no</text></svg> B</p>", "A January Feb B"),
+        ("<svg><foreignObject><p>in</p></foreignObject></svg><p>out</p>", "in\n\nout"),
+        ("<svg><path d='M0'/><p>after an open svg</p>", "after an open svg"),
+        ("<svg><style>text{}</style><script>x</script></svg><desc>shown</desc>", "shown"),
+    ],
+)
+def test_formulas_and_labels_of_drawings(html, text):
+    assert html_text.render(html) == text
