@@ -26,9 +26,6 @@ from paperlake.session import partitions, prepare, shared_dir
 
 N, LEAST = 2, 0.7
 PIECES = 3
-#: Sets of SMALL or more features leave out projections on fewer than FEW of them: what common n-grams
-#: alone make up. They have SMALL / 6 parts and more, of which any one suffices.
-SMALL, FEW = 64, 3
 #: Ids up to this many are sent to every task (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
 _FEATURE_BITS = 44
@@ -83,9 +80,8 @@ def signatures(row: np.ndarray, feature: np.ndarray, rows: int, least: float) ->
         count = np.bincount(cell, minlength=cells).reshape(-1, PIECES)
         of = np.repeat(np.arange(rows), n1)
         part = np.arange(int(base[-1])) - base[of]
-        needed = np.where(size[of] < SMALL, 1, FEW)
         for left_out in range(PIECES):
-            some = count.sum(axis=1) - count[:, left_out] >= needed
+            some = count.sum(axis=1) - count[:, left_out] > 0
             tag = mix((band[of[some]].astype(U) << U(40)) ^ (part[some].astype(U) << U(4)) ^ U(left_out + 1))
             out_row.append(of[some])
             out_sig.append(mix((total[some].sum(axis=1, dtype=U) - total[some, left_out]) ^ tag))

@@ -355,3 +355,18 @@ def test_standard_licence_headers(notice, licences):
 def test_licence_tag_ends_where_its_expression_ends(text, licences, expression, category):
     got = license_scan.scan(text)
     assert (got[0], got[1] or "", got[3]) == (licences, expression, category)
+
+
+def template_recall(make, features: int, shared: int, pair: int, pairs: int = 500) -> float:
+    """Share of near pairs found among documents with one template: `shared` 2-grams in all of them, `pair` more in a pair."""
+    template, docs = " ".join(f"t{k}" for k in range(shared + 1)), []
+    for i in range(2 * pairs):
+        own = [f"p{i // 2}x{k}" for k in range(pair)] + [f"o{i}x{k}" for k in range(features - shared - pair)]
+        docs.append((i, f"{template} {' '.join(own)}"))
+    got = {(r.kept_doc_id, r.doc_id) for r in jaccard_join.near_groups(make(*docs)).collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(pairs)}
+    return len(got) / pairs
+
+
+def test_jaccard_join_of_larger_sets_that_share_a_template(make):
+    assert template_recall(make, 80, 65, 2) > 0.93
