@@ -1,18 +1,26 @@
 """N-gram Jaccard join by PartEnum signatures (operator 10).
 
-A document is its set of hashed word n-grams. Sizes are cut into bands so that sets at `least` or
-more lie in one band or in neighbours; for each band a bound k on the symmetric difference follows.
-The feature domain is cut into n1 parts of n2 = 3 pieces, where 2 * n1 > k: in at least one part the
-two sets then differ in at most one piece, so the projections on some two of its pieces agree. All
-(part, pair of pieces) projections are the signatures. Documents that share one are compared.
-
-A passage that thousands share would give quadratically many pairs. Groups need fewer: in each
-bucket of a signature all documents are paired with one centre, every such pair is verified on the
-whole sets unless its ends are connected already, and connected components are the groups.
+Documents of one text are one class, found by SHA-256; only each class's first document goes on. It
+is its set of hashed word n-grams. Sizes are cut into bands so that sets at `least` or more lie in
+one band or in neighbours; for each band a bound k on the symmetric difference follows. The feature
+domain is cut into n1 parts of 3 pieces, where 2 * n1 > k: in at least one part two such sets differ
+in at most one piece, so their projections on the other two agree. All (part, two pieces)
+projections are the signatures.
+
+A projection of one or two features is shared by strangers without number, and an empty one by all.
+Those say nothing and aren't sent. What they would have found is found by the others: the cut of the
+domain is a hash, drawn for each query, and a band of few parts is cut anew, independently, until it
+has PARTS parts in all. missed() bounds the chance that a pair at the threshold shares no signature
+that is sent; it is below 1e-9 in every band, whatever the texts.
+
+All pairs of a bucket are candidates; large buckets are paired in blocks, by other tasks. Distinct
+candidates are compared on their whole sets, in tasks that get each set once, and give what is asked
+for: each document's number of links, and edges enough to connect its group.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -20,19 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import FOLDED, U, Words, batch, buffers, chunks, mix
+from paperlake.llm.kernels import FOLDED, U, Words, batch, buffers, chunks, fresh_key, groups_of, mix
 from paperlake.llm.packing import pack_ints, split_by, unpack_ints
-from paperlake.session import partitions, prepare, shared_dir
+from paperlake.session import prepare, shared_dir
 
 N, LEAST = 2, 0.7
 PIECES = 3
+#: Parts that every band has at least, over independent cuts of the domain.
+PARTS = 96
+#: Documents of a bucket, or of a group, that are paired in one go.
+BLOCK = 1024
 #: Ids up to this many are sent to every task (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
 _FEATURE_BITS = 44
 
 
 def bands(least: float, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first size of each band, parts n1 of each band)."""
+    """(first size of each band, parts n1 of one cut of each band)."""
     low, parts = [1], []
     while low[-1] <= upto:
         high = int(low[-1] / least + 1e-9)
@@ -44,9 +56,35 @@ def bands(least: float, upto: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low), np.array(parts)
 
 
-def feature_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def enough(low: np.ndarray) -> np.ndarray:
+    """Features that a projection needs to be a signature, for bands that begin at these sizes."""
+    return np.where(low < 3, 1, np.where(low < 8, 2, 3))
+
+
+def missed(low: int, least: float = LEAST, tries: int = 2000, seed: int = 1) -> float:
+    """The chance that sets at the threshold share no signature of the band that begins at `low`, from `tries` cuts of it.
+
+    The most of all sizes that meet in the band and don't have room for equal sets only; beyond small
+    bands the smallest and the greatest stand for the rest.
+    """
+    rng, (starts, parts) = np.random.default_rng(seed), bands(least, low)
+    at = int(np.searchsorted(starts, low, "right")) - 1
+    n1, need, high = int(parts[at]), int(enough(starts[at : at + 1])[0]), int(starts[at] / least + 1e-9)
+    worst = 0.0
+    for t in range(low, high + 1) if high < 20 else (low, high):
+        for s in {math.ceil(t * least - 1e-9), t}:
+            both, fail = math.ceil((s + t) * least / (1 + least) - 1e-9), 0
+            for _ in range(tries):
+                common, other = (np.bincount(rng.integers(0, n1 * PIECES, x), minlength=n1 * PIECES).reshape(-1, PIECES) for x in (both, s + t - 2 * both))
+                fine = (other.sum(axis=1, keepdims=True) == other) & (common.sum(axis=1, keepdims=True) - common >= need)
+                fail += not fine.any()
+            worst = max(worst, (fail / tries) ** -(-PARTS // n1))
+    return worst
+
+
+def feature_sets(data: np.ndarray, offsets: np.ndarray, n: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of each row's distinct n-grams, sorted; a text of fewer words has one feature, of no word none."""
-    w = Words(data, offsets, FOLDED)
+    w = Words(data, offsets, FOLDED, key)
     rows, prints = [], []
     size = np.diff(w.first)
     for m in range(1, n + 1):
@@ -57,129 +95,244 @@ def feature_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
         rows.append(w.row[at])
         prints.append(h)
     row, h = np.concatenate(rows).astype(U), np.concatenate(prints)
-    key = np.unique(row << U(_FEATURE_BITS) | h >> U(64 - _FEATURE_BITS))
-    return (key >> U(_FEATURE_BITS)).astype(np.int64), mix(key & U((1 << _FEATURE_BITS) - 1))
+    both = np.unique(row << U(_FEATURE_BITS) | h >> U(64 - _FEATURE_BITS))
+    return (both >> U(_FEATURE_BITS)).astype(np.int64), mix(both & U((1 << _FEATURE_BITS) - 1))
 
 
 def signatures(row: np.ndarray, feature: np.ndarray, rows: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows' projections, for a set's own band and the next; empty ones are left out."""
+    """(row, signature) of the projections of all rows, for a set's own band and the next; `row` is sorted."""
     size = np.bincount(row, minlength=rows)
     low, parts = bands(least, int(size.max(initial=1)))
-    own = np.searchsorted(low, size, "right") - 1
+    own = np.searchsorted(low, np.maximum(size, 1), "right") - 1
     out_row, out_sig = [], []
+    first = np.searchsorted(row, np.arange(rows))
     for step in (0, 1):
-        band = own + step
-        n1 = np.where(size > 0, parts[np.minimum(band, len(parts) - 1)], 0)
+        # A copy of each set for each cut of its band.
+        cuts = np.where(size > 0, -(-PARTS // parts[own + step]), 0)
+        of = np.repeat(np.arange(rows), cuts)
+        cut = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        band, many = own[of] + step, size[of]
+        copy = np.repeat(np.arange(len(of)), many)
+        f = feature[np.arange(len(copy)) - np.repeat(np.cumsum(many) - many - first[of], many)]
+        n1 = parts[band]
         base = np.r_[0, np.cumsum(n1)]
-        spread = mix(feature + (band[row].astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
-        piece = ((spread >> U(32)) * (n1[row] * PIECES).astype(U) >> U(32)).astype(np.int64)
-        cell = base[row] * PIECES + piece
+        spread = mix(f + ((band.astype(U) << U(16)) + cut.astype(U) + U(1))[copy] * U(0x9E3779B97F4A7C15))
+        piece = ((spread >> U(32)) * (n1[copy] * PIECES).astype(U) >> U(32)).astype(np.int64)
+        cell = base[copy] * PIECES + piece
         cells = int(base[-1]) * PIECES
-        halves = [np.bincount(cell, (x).astype(float), cells).astype(U) for x in (feature & U(0xFFFFFFFF), feature >> U(32))]
+        halves = [np.bincount(cell, (x).astype(float), cells).astype(U) for x in (f & U(0xFFFFFFFF), f >> U(32))]
         total = (halves[0] + (halves[1] << U(32))).reshape(-1, PIECES)
         count = np.bincount(cell, minlength=cells).reshape(-1, PIECES)
-        of = np.repeat(np.arange(rows), n1)
-        part = np.arange(int(base[-1])) - base[of]
+        of_part = np.repeat(np.arange(len(of)), n1)
+        part = np.arange(int(base[-1])) - base[of_part]
+        need = enough(low)[band][of_part]
+        sum_total, sum_count = total.sum(axis=1, dtype=U), count.sum(axis=1)
         for left_out in range(PIECES):
-            some = count.sum(axis=1) - count[:, left_out] > 0
-            tag = mix((band[of[some]].astype(U) << U(40)) ^ (part[some].astype(U) << U(4)) ^ U(left_out + 1))
-            out_row.append(of[some])
-            out_sig.append(mix((total[some].sum(axis=1, dtype=U) - total[some, left_out]) ^ tag))
+            some = sum_count - count[:, left_out] >= need
+            c = of_part[some]
+            tag = mix((band[c].astype(U) << U(44)) ^ (cut[c].astype(U) << U(36)) ^ (part[some].astype(U) << U(4)) ^ U(left_out + 1))
+            out_row.append(of[c])
+            out_sig.append(mix((sum_total[some] - total[some, left_out]) ^ tag))
     return np.concatenate(out_row), np.concatenate(out_sig)
 
 
-_MOVED = pa.schema([("part", pa.int64()), ("sigs", pa.binary()), ("docs", pa.binary()), ("own", pa.binary())])
+_MOVED = pa.schema([("part", pa.int64()), ("sigs", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("own", pa.binary())])
 _EDGES = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-_SETS = pa.schema([("doc", pa.int64()), ("feats", pa.list_(pa.int32()))])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_SETS = pa.schema([("doc", pa.int64()), ("feats", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def _sign_rows(n: int, least: float, parts: int):
+def _sign_rows(n: int, least: float, parts: int, key: int):
     def run(batches):
         for rows in batches:
             ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = buffers(rows.column(1))
             for i, j in chunks(offsets, 4 << 20):
-                row, feature = feature_sets(data, offsets[i : j + 1], n)
+                row, feature = feature_sets(data, offsets[i : j + 1], n, key)
                 if not len(row):
                     continue
+                size = np.bincount(row, minlength=j - i)
                 own, sig = signatures(row, feature, j - i, least)
                 sig >>= U(16)
                 order = np.argsort(sig)
                 own, sig = own[order], sig[order]
                 part = ((sig >> U(16)) * U(parts) >> U(32)).astype(np.int64)
-                out, table, kind = [], pack_ints(ids[i:j]), "<u2" if j - i <= 1 << 16 else "<u4"
+                out, kind = [], "<u2" if j - i <= 1 << 16 else "<u4"
                 for x in np.split(np.arange(len(sig)), np.flatnonzero(np.diff(part)) + 1):
                     used, local = np.unique(own[x], return_inverse=True)
-                    out.append((int(part[x[0]]), pack_ints(sig[x].astype(np.int64)), table if len(used) == j - i else pack_ints(ids[i + used]), kind[-1].encode() + pa.compress(local.astype(kind) if len(used) < j - i else own[x].astype(kind), "zstd", asbytes=True) + len(x).to_bytes(8, "little")))
-                yield batch(_MOVED, **dict(zip(_MOVED.names, zip(*out))))
+                    places = kind[-1].encode() + pa.compress(local.astype(kind), "zstd", asbytes=True) + len(x).to_bytes(8, "little")
+                    out.append((int(part[x[0]]), pack_ints(sig[x].astype(np.int64)), pack_ints(ids[i + used]), pack_ints(size[used]), places))
+                if out:
+                    yield batch(_MOVED, **dict(zip(_MOVED.names, zip(*out))))
 
     return run
 
 
-def _docs_of(docs: bytes, own: bytes) -> np.ndarray:
+def _places_of(own: bytes) -> np.ndarray:
     kind, n = "<u" + own[:1].decode(), int.from_bytes(own[-8:], "little")
-    return unpack_ints(docs)[np.frombuffer(pa.decompress(own[1:-8], n * int(kind[-1]), "zstd"), kind).astype(np.int64)]
+    return np.frombuffer(pa.decompress(own[1:-8], n * int(kind[-1]), "zstd"), kind).astype(np.int64)
+
 
+def _edge_table(rows: list) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _EDGES)] if rows else [pa.array([], f.type) for f in _EDGES], schema=_EDGES)
 
-def _order(docs: np.ndarray) -> np.ndarray:
-    return mix(docs.astype(U) * U(0xD6E8FEB86659FD93) + U(11))
 
+def _at_home(a: np.ndarray, b: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """Pairs in blocks by the first document's shard."""
+    home, keys, cut = split_by((mix(a.astype(U)) >> U(40)).astype(np.int64) % parts)
+    return [(int(k), pack_ints(a[home[x:y]]), pack_ints(b[home[x:y]])) for k, x, y in zip(keys, cut[:-1], cut[1:])]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    new &= a != b
+    return a[new], b[new]
 
-def _pairs(parts: int):
-    """Every document of a bucket with the bucket's centre, the first by a fixed shuffled order."""
+
+def _fits(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes can reach `least`."""
+    return np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9
+
+
+def _pairs(parts: int, least: float):
+    """All pairs of each bucket, with part = the first one's shard; of a large bucket its blocks, with part < 0."""
 
     def run(table: pa.Table) -> pa.Table:
         sig = np.concatenate([unpack_ints(x.as_py()) for x in table.column("sigs")])
-        doc = np.concatenate([_docs_of(x.as_py(), y.as_py()) for x, y in zip(table.column("docs"), table.column("own"))])
+        places = [_places_of(x.as_py()) for x in table.column("own")]
+        read = lambda name: np.concatenate([unpack_ints(x.as_py())[p] for x, p in zip(table.column(name), places)])
+        doc, size = read("docs"), read("sizes")
         order = np.argsort(sig, kind="stable")
-        sig, doc = sig[order], doc[order]
-        same = np.r_[False, sig[1:] == sig[:-1]] if len(sig) else np.zeros(0, bool)
-        keep = same | np.r_[same[1:], False]
-        sig, doc, rank = sig[keep], doc[keep], _order(doc[keep])
-        out = []
-        if len(sig):
-            start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            size = np.diff(np.r_[start, len(sig)])
-            first = np.repeat(np.minimum.reduceat(rank, start), size)
-            lead = np.zeros(len(start), np.int64)
-            bucket = np.repeat(np.arange(len(start)), size)
-            lead[bucket[rank == first]] = doc[rank == first]
-            a, b = lead[bucket], doc
-            other = a != b
-            a, b = a[other], b[other]
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            home, keys, cut = split_by((_order(a) >> U(40)).astype(np.int64) % parts)
-            out = [(int(k), pack_ints(a[home[x:y]]), pack_ints(b[home[x:y]])) for k, x, y in zip(keys, cut[:-1], cut[1:])]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _EDGES)] if out else [pa.array([], f.type) for f in _EDGES], schema=_EDGES)
+        start = np.flatnonzero(np.r_[True, np.diff(sig[order]) != 0])
+        many = np.diff(np.r_[start, len(sig)])
+        out, found = [], []
+        for k in np.flatnonzero(many > BLOCK):
+            members = np.unique(doc[order[start[k] : start[k] + many[k]]])
+            blocks = [members[x : x + BLOCK] for x in range(0, len(members), BLOCK)]
+            salt = int(sig[order[start[k]]])
+            packed = [pack_ints(x) for x in blocks]
+            out += [(-1 - int(mix(np.array([salt * 31 + i * 1009 + j], U))[0] >> U(20)) % (4 * parts), packed[i], packed[j]) for i in range(len(blocks)) for j in range(i, len(blocks))]
+        take = np.flatnonzero((many > 1) & (many <= BLOCK))
+        start, many = start[take], many[take]
+        each = many * (many - 1) // 2
+        at = 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(np.cumsum(each[at:]), 4 << 20, "right")) + at)
+            m = many[at:to]
+            left = np.arange(m.sum()) + np.repeat(start[at:to] - (np.cumsum(m) - m), m)
+            more = np.repeat(start[at:to] + m, m) - left - 1
+            x = order[np.repeat(left, more)]
+            y = order[np.arange(more.sum()) - np.repeat(np.cumsum(more) - more - left - 1, more)]
+            fine = _fits(size[x], size[y], least)
+            found.append(_distinct(doc[x[fine]], doc[y[fine]]))
+            if sum(len(a) for a, _ in found) > 8 << 20:
+                found = [_distinct(*map(np.concatenate, zip(*found)))]
+            at = to
+        if found:
+            out += _at_home(*_distinct(*map(np.concatenate, zip(*found))), parts)
+        return _edge_table(out)
+
+    return run
+
+
+def _cross(parts: int):
+    """Pairs of two blocks of a large bucket."""
+
+    def run(batches):
+        for rows in batches:
+            for a, b in zip(rows.column(1), rows.column(2)):
+                x, y = unpack_ints(a.as_py()), unpack_ints(b.as_py())
+                out = _at_home(*_distinct(np.repeat(x, len(y)), np.tile(y, len(x))), parts)
+                yield from _edge_table(out).to_batches()
 
     return run
 
 
 def _unite(table: pa.Table) -> pa.Table:
-    """Distinct pairs with the number of signatures that they share."""
     a = np.concatenate([unpack_ints(x.as_py()) for x in table.column("a")])
     b = np.concatenate([unpack_ints(x.as_py()) for x in table.column("b")])
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return pa.table([a[first], b[first], np.diff(np.r_[first, len(a)])], schema=_EDGE)
+    return pa.table(_distinct(a, b), schema=_PAIR)
 
 
-def _set_rows(n: int):
+def _set_rows(n: int, key: int):
     def run(batches):
         for rows in batches:
             data, offsets = buffers(rows.column(1))
             for i, j in chunks(offsets, 4 << 20):
-                row, feature = feature_sets(data, offsets[i : j + 1], n)
+                row, feature = feature_sets(data, offsets[i : j + 1], n, key)
                 at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(at), pa.array((feature >> U(32)).astype(np.uint32).view(np.int32)))
+                sets = pa.ListArray.from_arrays(pa.array(at), pa.array((feature >> U(64 - _FEATURE_BITS)).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, j - i), sets], schema=_SETS)
 
     return run
 
 
+def similar(docs: np.ndarray, offsets: np.ndarray, feats: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs (a, b) of documents reach `least`; feats[offsets[i]:offsets[i + 1]] is a set of document docs[i], sorted by document."""
+    out = np.zeros(len(a), bool)
+    if not len(a):
+        return out
+    _, feat = np.unique(feats, return_inverse=True)
+    mark = np.zeros(int(feat.max(initial=0)) + 1, bool)
+    size = np.diff(offsets)
+    a_from, a_to = np.searchsorted(docs, a, "left"), np.searchsorted(docs, a, "right")
+    b_from, b_to = np.searchsorted(docs, b, "left"), np.searchsorted(docs, b, "right")
+    order = np.argsort(a, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        for k in range(a_from[run[0]], a_to[run[0]]):  # usually one: the texts of the document
+            own = feat[offsets[k] : offsets[k + 1]]
+            mark[own] = True
+            for part in np.split(run, np.flatnonzero(np.diff(np.cumsum(size[b_from[run]]) >> 22)) + 1):
+                texts = b_to[part] - b_from[part]
+                of = np.repeat(part, texts)
+                t = np.arange(len(of)) - np.repeat(np.cumsum(texts) - texts - b_from[part], texts)
+                n = size[t]
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - offsets[t], n)
+                hits = np.r_[0, np.cumsum(mark[feat[place]])]
+                common = np.diff(hits[np.r_[0, np.cumsum(n)]])
+                near = (common > 0) & (common >= least * (len(own) + n - common) - 1e-9)
+                out[of[near]] = True
+            mark[own] = False
+    return out
+
+
+def _verify(least: float):
+    """(a, b, -1) for edges that connect all that is similar, (a, null, n) for a's n links."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        if not len(pairs) or not len(sets):
+            return pa.table([pa.array([], f.type) for f in _FOUND], schema=_FOUND)
+        a, b = (pairs.column(c).to_numpy().astype(np.int64) for c in ("a", "b"))
+        sets = sets.sort_by("doc").combine_chunks()
+        lists = sets.column("feats").chunk(0)
+        near = similar(sets.column("doc").to_numpy(), lists.offsets.to_numpy(), lists.values.to_numpy(), a, b, least)
+        a, b = a[near], b[near]
+        docs, links = np.unique(np.r_[a, b], return_counts=True)
+        root = np.arange(len(docs))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        x, y = [], []
+        for i, j in zip(np.searchsorted(docs, a).tolist(), np.searchsorted(docs, b).tolist()):
+            p, q = find(i), find(j)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                x.append(i)
+                y.append(j)
+        first = pa.array(np.r_[docs[x], docs] if x else docs)
+        return pa.table([first, pa.array(np.r_[docs[y], np.zeros(len(docs), np.int64)] if y else np.zeros(len(docs), np.int64)), pa.array(np.r_[np.full(len(x), -1), links])], schema=_FOUND)
+
+    return run
+
+
 class _Work:
     """Steps written into the shared folder, so that lineage ends there."""
 
@@ -219,60 +372,90 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-def candidate_pairs(docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """(a, b, n): pairs with a common signature, each bucket's documents with its centre a."""
-    parts = max(16, 4 * partitions(prepare(docs.sparkSession)))
-    moved = _narrow(docs).mapInArrow(_sign_rows(n, least, parts), "part long, sigs binary, docs binary, own binary")
-    pairs = moved.groupBy("part").applyInArrow(_pairs(parts), "part long, a binary, b binary")
-    return pairs.groupBy("part").applyInArrow(_unite, "a long, b long, n long")
+def _sent(df: DataFrame, rows: int, many: int = SENT_IDS) -> DataFrame:
+    """`df` of `rows` rows for a join: sent to all tasks if it is known to be small."""
+    return F.broadcast(df) if rows <= many else df
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs whose whole sets have a Jaccard index of `least` or more."""
-    left = pairs.select("a", "b").join(sets.select(F.col("doc").alias("b"), F.col("feats").alias("y")), "b")
-    both = left.join(sets.select(F.col("doc").alias("a"), F.col("feats").alias("x")), "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+def text_classes(docs: DataFrame, keep) -> DataFrame:
+    """(doc, text_hash, first): rows whose text stands more than once, with the least document of that text."""
+    hashed = _narrow(docs).select("doc", F.unhex(F.sha2("text", 256)).alias("text_hash"))
+    least = keep(hashed.groupBy("text_hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return keep(hashed.join(_sent(least, least.count(), SENT_IDS // 4), "text_hash").distinct())
 
 
-def near_groups(docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """(doc_id, kept_doc_id): each document of a group but its first, with the first.
-
-    A group is a connected component of documents whose word n-gram sets have a Jaccard index of
-    `least` or more; its first is the one with the least doc_id. Words are ASCII letters and digits
-    in lower case and all other letters as they stand. A text of fewer than n words is compared by
-    all its words. Null, empty and wordless texts and null ids are in no group. Rows that share a
-    doc_id are one document with several texts. An empty table gives no rows. Only doc_id and text
-    are read.
+def candidate_pairs(texts: DataFrame, keep, size: int, n: int = N, least: float = LEAST, key: int = 0) -> DataFrame:
+    """(a, b), a < b: distinct pairs of documents with a common signature, from (doc, text); `size` is the number of ranges."""
+    moved = texts.mapInArrow(_sign_rows(n, least, size, key), "part long, sigs binary, docs binary, sizes binary, own binary")
+    found = keep(moved.groupBy("part").applyInArrow(_pairs(size, least), "part long, a binary, b binary"))
+    large = found.where("part < 0").repartition("part").mapInArrow(_cross(size), "part long, a binary, b binary")
+    return found.where("part >= 0").unionByName(large).groupBy("part").applyInArrow(_unite, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, keep, ranges: int, n: int = N, least: float = LEAST, key: int = 0) -> DataFrame:
+    """(a, b, n): with n = -1 edges that connect all similar pairs, with n > 0 a's number of similar documents in one task.
+
+    Documents are labelled with their least partner, which the members of a group share, so that
+    pairs of a group meet in few tasks and each set is sent to few; groups over BLOCK are cut.
     """
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    label = keep(ends.groupBy("doc").agg(F.min("other").alias("other")).select("doc", F.least("doc", "other").alias("label")))
+    rows = label.count()
+    large = label.groupBy("label").agg(F.count("*").alias("n")).where(f"n > {BLOCK}").select("label", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    home = label.join(large, "label", "left").select("doc", F.xxhash64("label", F.expr("pmod(xxhash64(doc), coalesce(blocks, 1))")).alias("home"))
+    end = lambda c: _sent(home.select(F.col("doc").alias(c), F.col("home").alias(f"home_{c}")), rows, SENT_IDS // 2)
+    routed = pairs.join(end("a"), "a").join(end("b"), "b")
+    routed = keep(routed.select("a", "b", F.expr(f"pmod(xxhash64(least(home_a, home_b), greatest(home_a, home_b)), {ranges})").alias("range")))
+    wanted = routed.select(F.col("range").alias("goal"), F.explode(F.array("a", "b")).alias("doc")).distinct()
+    some = texts.join(_sent(label.select("doc"), rows), "doc", "left_semi")
+    sets = some.mapInArrow(_set_rows(n, key), "doc long, feats array<bigint>").join(wanted, "doc")
+    return routed.groupBy("range").cogroup(sets.groupBy("goal")).applyInArrow(_verify(least), "a long, b long, n long")
+
+
+def groups(docs: DataFrame, n: int = N, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """((doc, root), (doc, n_links)): roots of the documents that aren't their group's first, links of all that have some."""
     spark = prepare(docs.sparkSession)
-    work = _Work(spark)
-    pairs = work.keep(candidate_pairs(docs, n, least))
-    ids = work.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    text = _narrow(docs)
-    if ids.count() <= SENT_IDS:
-        sets = text.join(F.broadcast(ids), "doc", "left_semi").mapInArrow(_set_rows(n), "doc long, feats array<int>")
-    else:
-        sets = text.mapInArrow(_set_rows(n), "doc long, feats array<int>").join(ids, "doc", "left_semi")
-    sets = work.keep(sets)
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    sure = work.keep(verified(best, sets, least))
-    root = components(sure, work.keep)
-    # Pairs whose ends aren't connected yet.
-    end = lambda c: root.select(F.col("doc").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.select("a", "b").join(best.select("b", F.col("a").alias("tried")), "b").where("a != tried").join(end("a"), "a", "left").join(end("b"), "b", "left")
-    rest = work.keep(rest.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"))
-    more = work.keep(verified(rest, sets, least))
-    linked = root.select(F.col("doc").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return components(linked, work.keep).select(F.col("doc").alias("doc_id"), F.col("root").alias("kept_doc_id"))
+    keep, key, ranges = _Work(spark).keep, fresh_key(), groups_of(docs, 8 << 20)
+    classes = text_classes(docs, keep)
+    copies = classes.where("doc != first")
+    rows = copies.count()
+    texts = _narrow(docs)
+    if rows:
+        gone = copies.select(F.col("doc").alias("gone"), "text_hash")
+        same = (F.col("doc") == F.col("gone")) & (F.unhex(F.sha2("text", 256)) == F.col("text_hash"))
+        texts = texts.join(_sent(gone, rows, SENT_IDS // 4), same, "left_anti")
+    pairs = keep(candidate_pairs(texts, keep, ranges, n, least, key))
+    found = keep(verified(pairs, texts, keep, ranges, n, least, key))
+    links = found.where("n > 0").groupBy(F.col("a").alias("doc")).agg(F.sum("n").cast("int").alias("n_links"))
+    # Copies of texts without words are in no group, as such texts aren't.
+    worded = F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    blank = keep(_narrow(docs).where(~worded).select("doc", F.unhex(F.sha2("text", 256)).alias("text_hash")).distinct())
+    copies = copies.join(_sent(blank, blank.count(), SENT_IDS // 4), ["doc", "text_hash"], "left_anti")
+    edges = found.where("n < 0").select("a", "b").unionByName(copies.select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    return components(edges, keep), links.unionByName(copies.join(links, copies["first"] == links["doc"]).select(copies["doc"], "n_links"))
+
+
+def near_groups(docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
+    """(doc_id, kept_doc_id, n_links): each document of a group but its first, with the first.
+
+    Documents are linked if their word n-gram sets have a Jaccard index of `least` or more; a group
+    is a connected component, its first is the one with the least doc_id. n_links counts the other
+    texts that the document's text is linked to: copies of one text count once, and a text that only
+    has exact copies has none. Words are ASCII letters and digits in lower case and all other letters
+    as they stand. A text of fewer than n words is compared by all its words. Null, empty and
+    wordless texts and null ids are in no group. Rows that share a doc_id are one document with
+    several texts; its links are those of any of them, counted by document. An empty table gives no
+    rows. Only doc_id and text are read.
+    """
+    root, links = groups(docs, n, least)
+    links = links.groupBy("doc").agg(F.max("n_links").alias("n_links"))
+    return root.join(links, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("root").alias("kept_doc_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
     """The rows of `docs`, with all their columns, without the documents that near_groups() lists as not kept."""
-    gone = near_groups(docs, n, least).select(F.col("doc_id").alias("__gone"))
-    if gone.count() <= SENT_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    gone = groups(docs, n, least)[0].select(F.col("doc").alias("__gone"))
+    return docs.join(_sent(gone, gone.count()), docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
