@@ -231,11 +231,13 @@ def test_decontamination_in_slices(spark, make, monkeypatch):
     assert rows(decontaminate.overlaps(docs, benchmark)) == whole and len(whole) == 5
 
 
+def grams(text):
+    w = folded(text or "")
+    return set(zip(w, w[1:])) if len(w) > 1 else {(x,) for x in w}
+
+
 def groups_brute_force(docs, least=jaccard_join.LEAST):
-    sets = {}
-    for i, t in docs:
-        w = folded(t or "")
-        sets[i] = set(zip(w, w[1:])) if len(w) > 1 else {(x,) for x in w}
+    sets = {i: grams(t) for i, t in docs}
     root = {i: i for i in sets}
 
     def find(x):
