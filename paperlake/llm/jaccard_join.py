@@ -14,8 +14,8 @@ has PARTS parts in all. missed() bounds the chance that a pair at the threshold
 that is sent; it is below 1e-9 in every band, whatever the texts.
 
 All pairs of a bucket are candidates; large buckets are paired in blocks, by other tasks. Distinct
-candidates are compared on their whole sets, in tasks that get each set once, and give what is asked
-for: each document's number of links, and edges enough to connect its group.
+candidates that sketches don't rule out (a lower bound of the difference) are compared on their whole
+sets, in tasks that get each set once, and give what is asked for: each document's number of links, and edges enough to connect its group.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ PIECES = 3
 PARTS = 96
 #: Documents of a bucket, or of a group, that are paired in one go.
 BLOCK = 1024
+#: Sketches (COUNTERS bytes each) up to this many are sent to every task.
+SENT_SKETCHES = 100_000
+#: Counters of the sketch that rules out most of the pairs that aren't similar.
+COUNTERS = 128
 #: Ids up to this many are sent to every task (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
 _FEATURE_BITS = 44
@@ -139,7 +143,8 @@ def signatures(row: np.ndarray, feature: np.ndarray, rows: int, least: float) ->
 _MOVED = pa.schema([("part", pa.int64()), ("sigs", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("own", pa.binary())])
 _EDGES = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_SETS = pa.schema([("doc", pa.int64()), ("feats", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc", pa.int64()), ("feats", pa.binary())])
+_SKETCH = pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -264,39 +269,73 @@ def _set_rows(n: int, key: int):
             data, offsets = buffers(rows.column(1))
             for i, j in chunks(offsets, 4 << 20):
                 row, feature = feature_sets(data, offsets[i : j + 1], n, key)
-                at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(at), pa.array((feature >> U(64 - _FEATURE_BITS)).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, j - i), sets], schema=_SETS)
+                at = np.searchsorted(row, np.arange(j - i + 1)).tolist()
+                feature = (feature >> U(64 - _FEATURE_BITS)).astype(np.int64)
+                yield batch(_SETS, doc=rows.column(0).slice(i, j - i), feats=[pack_ints(np.sort(feature[x:y])) for x, y in zip(at[:-1], at[1:])])
+
+    return run
+
+
+def sketches(row: np.ndarray, feature: np.ndarray, rows: int) -> np.ndarray:
+    """How many features fall into each of COUNTERS shares of the domain, 255 for more."""
+    cell = row * COUNTERS + (feature >> U(17)).astype(np.int64) % COUNTERS
+    return np.minimum(np.bincount(cell, minlength=rows * COUNTERS), 255).astype(np.uint8).reshape(rows, COUNTERS)
+
+
+def _sketch_rows(n: int, key: int):
+    def run(batches):
+        for rows in batches:
+            data, offsets = buffers(rows.column(1))
+            for i, j in chunks(offsets, 4 << 20):
+                row, feature = feature_sets(data, offsets[i : j + 1], n, key)
+                sketch = [x.tobytes() for x in sketches(row, feature, j - i)]
+                yield batch(_SKETCH, doc=rows.column(0).slice(i, j - i), size=np.bincount(row, minlength=j - i), sketch=sketch)
+
+    return run
+
+
+def _may_be_similar(least: float):
+    """Lets pairs (a, b, size_a, size_b, sketch_a, sketch_b) through unless their sketches rule them out.
+
+    Sets differ in at least as many features as their counters do in sum, capped or not.
+    """
+
+    def run(batches):
+        for rows in batches:
+            x, y = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS) for c in ("sketch_a", "sketch_b"))
+            both = sum(rows.column(c).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
+            differ = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+            fine = pa.array(differ <= both * (1 - least) / (1 + least) + 1e-9)
+            yield rows.select(["a", "b"]).filter(fine)
 
     return run
 
 
 def similar(docs: np.ndarray, offsets: np.ndarray, feats: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs (a, b) of documents reach `least`; feats[offsets[i]:offsets[i + 1]] is a set of document docs[i], sorted by document."""
+    """Which pairs (a, b) of documents reach `least`; feats[offsets[i]:offsets[i + 1]] is a set of document docs[i], in order; documents too."""
     out = np.zeros(len(a), bool)
     if not len(a):
         return out
-    _, feat = np.unique(feats, return_inverse=True)
-    mark = np.zeros(int(feat.max(initial=0)) + 1, bool)
     size = np.diff(offsets)
     a_from, a_to = np.searchsorted(docs, a, "left"), np.searchsorted(docs, a, "right")
     b_from, b_to = np.searchsorted(docs, b, "left"), np.searchsorted(docs, b, "right")
     order = np.argsort(a, kind="stable")
     for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
         for k in range(a_from[run[0]], a_to[run[0]]):  # usually one: the texts of the document
-            own = feat[offsets[k] : offsets[k + 1]]
-            mark[own] = True
-            for part in np.split(run, np.flatnonzero(np.diff(np.cumsum(size[b_from[run]]) >> 22)) + 1):
+            own = feats[offsets[k] : offsets[k + 1]]
+            if not len(own):
+                continue
+            for part in np.split(run, np.flatnonzero(np.diff(np.cumsum(size[b_from[run]]) >> 20)) + 1):
                 texts = b_to[part] - b_from[part]
                 of = np.repeat(part, texts)
                 t = np.arange(len(of)) - np.repeat(np.cumsum(texts) - texts - b_from[part], texts)
                 n = size[t]
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - offsets[t], n)
-                hits = np.r_[0, np.cumsum(mark[feat[place]])]
+                other = np.concatenate([feats[x:y] for x, y in zip(offsets[t].tolist(), offsets[t + 1].tolist())])
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                hits = np.r_[0, np.cumsum(own[at] == other)]
                 common = np.diff(hits[np.r_[0, np.cumsum(n)]])
                 near = (common > 0) & (common >= least * (len(own) + n - common) - 1e-9)
                 out[of[near]] = True
-            mark[own] = False
     return out
 
 
@@ -307,9 +346,10 @@ def _verify(least: float):
         if not len(pairs) or not len(sets):
             return pa.table([pa.array([], f.type) for f in _FOUND], schema=_FOUND)
         a, b = (pairs.column(c).to_numpy().astype(np.int64) for c in ("a", "b"))
-        sets = sets.sort_by("doc").combine_chunks()
-        lists = sets.column("feats").chunk(0)
-        near = similar(sets.column("doc").to_numpy(), lists.offsets.to_numpy(), lists.values.to_numpy(), a, b, least)
+        sets = sets.sort_by("doc")
+        feats = [unpack_ints(x.as_py()) for x in sets.column("feats")]
+        offsets = np.r_[0, np.cumsum([len(x) for x in feats])]
+        near = similar(sets.column("doc").to_numpy(), offsets, np.concatenate(feats), a, b, least)
         a, b = a[near], b[near]
         docs, links = np.unique(np.r_[a, b], return_counts=True)
         root = np.arange(len(docs))
@@ -395,20 +435,30 @@ def candidate_pairs(texts: DataFrame, keep, size: int, n: int = N, least: float
 def verified(pairs: DataFrame, texts: DataFrame, keep, ranges: int, n: int = N, least: float = LEAST, key: int = 0) -> DataFrame:
     """(a, b, n): with n = -1 edges that connect all similar pairs, with n > 0 a's number of similar documents in one task.
 
-    Documents are labelled with their least partner, which the members of a group share, so that
-    pairs of a group meet in few tasks and each set is sent to few; groups over BLOCK are cut.
+    Pairs that sketches rule out go first. The rest meet by connected component, so that each set is
+    sent once; components over BLOCK documents are cut into blocks, and pairs meet by two blocks.
     """
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    label = keep(ends.groupBy("doc").agg(F.min("other").alias("other")).select("doc", F.least("doc", "other").alias("label")))
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    some = texts.join(_sent(ids, rows := ids.count()), "doc", "left_semi")
+    # Documents with several texts have no one sketch; their pairs pass.
+    sketch = some.mapInArrow(_sketch_rows(n, key), "doc long, size long, sketch binary").groupBy("doc").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    sketch = keep(sketch)
+    end = lambda c: _sent(sketch.select(F.col("doc").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "size", "sketch"))), rows, SENT_SKETCHES)
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    likely = both.where("n_a = 1 AND n_b = 1").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_may_be_similar(least), "a long, b long")
+    left = keep(likely.unionByName(both.where("n_a > 1 OR n_b > 1").select("a", "b")))
+    root = components(left, keep)
+    label = keep(root.select("doc", F.col("root").alias("label")).unionByName(root.select(F.col("root").alias("doc"), F.col("root").alias("label")).distinct()))
     rows = label.count()
     large = label.groupBy("label").agg(F.count("*").alias("n")).where(f"n > {BLOCK}").select("label", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    home = label.join(large, "label", "left").select("doc", F.xxhash64("label", F.expr("pmod(xxhash64(doc), coalesce(blocks, 1))")).alias("home"))
-    end = lambda c: _sent(home.select(F.col("doc").alias(c), F.col("home").alias(f"home_{c}")), rows, SENT_IDS // 2)
-    routed = pairs.join(end("a"), "a").join(end("b"), "b")
-    routed = keep(routed.select("a", "b", F.expr(f"pmod(xxhash64(least(home_a, home_b), greatest(home_a, home_b)), {ranges})").alias("range")))
-    wanted = routed.select(F.col("range").alias("goal"), F.explode(F.array("a", "b")).alias("doc")).distinct()
-    some = texts.join(_sent(label.select("doc"), rows), "doc", "left_semi")
-    sets = some.mapInArrow(_set_rows(n, key), "doc long, feats array<bigint>").join(wanted, "doc")
+    home = keep(label.join(large, "label", "left").select("doc", F.xxhash64("label", F.expr("pmod(xxhash64(doc), coalesce(blocks, 1))")).alias("home")))
+    at = lambda c: _sent(home.select(F.col("doc").alias(c), F.col("home").alias(f"home_{c}")), rows, SENT_IDS // 2)
+    goal = F.expr(f"pmod(xxhash64(least(home_a, home_b), greatest(home_a, home_b)), {8 * ranges})")
+    routed = keep(left.join(at("a"), "a").join(at("b"), "b").select("a", "b", goal.alias("range")))
+    wanted = keep(routed.select(F.col("range").alias("goal"), F.explode(F.array("a", "b")).alias("doc")).distinct())
+    many = wanted.count()
+    some = texts.join(_sent(wanted.select("doc").distinct(), many), "doc", "left_semi")
+    sets = some.mapInArrow(_set_rows(n, key), "doc long, feats binary").join(_sent(wanted, many, SENT_IDS // 2), "doc")
     return routed.groupBy("range").cogroup(sets.groupBy("goal")).applyInArrow(_verify(least), "a long, b long, n long")
 
 
