@@ -40,6 +40,8 @@ class Form(NamedTuple):
     data: bytes
     matrix: tuple
     fonts: dict
+    #: What its own resources name, before the page's.
+    xobjects: dict = {}  # noqa: RUF012
 
 
 def multiply(a: tuple, b: tuple) -> tuple:
@@ -61,16 +63,18 @@ class Scan:
         self.xobjects, self.page_fonts = xobjects, fonts
         self.chars: list[Char] = []
         self.images: list[Image] = []
+        #: The object of each image, None for inline ones and unknown names.
+        self.sources: list = []
         self.type3 = self.undecoded = self.inline = 0
 
-    def run(self, data: bytes, fonts: dict[bytes, Font] | None = None, ctm: tuple = IDENTITY, depth: int = 0) -> Scan:
-        _Interpreter(self, self.page_fonts if fonts is None else fonts, ctm, depth).run(data)
+    def run(self, data: bytes, fonts: dict[bytes, Font] | None = None, ctm: tuple = IDENTITY, depth: int = 0, own: dict | None = None) -> Scan:
+        _Interpreter(self, self.page_fonts if fonts is None else fonts, ctm, depth, own or {}).run(data)
         return self
 
 
 class _Interpreter:
-    def __init__(self, scan: Scan, fonts: dict[bytes, Font], ctm: tuple, depth: int):
-        self.scan, self.fonts, self.ctm, self.depth = scan, fonts, ctm, depth
+    def __init__(self, scan: Scan, fonts: dict[bytes, Font], ctm: tuple, depth: int, own: dict):
+        self.scan, self.fonts, self.ctm, self.depth, self.own = scan, fonts, ctm, depth, own
         self.saved: list[tuple] = []
         self.tm = self.tlm = IDENTITY
         self.font: Font | None = None
@@ -124,6 +128,7 @@ class _Interpreter:
                     at = end.end()
                     self.scan.inline += 1
                     self.scan.images.append(Image("inline", *box(self.ctm, 0, 0, 1, 1)))
+                    self.scan.sources.append(None)
                 else:
                     self.operate(m["op"], stack)
                 stack, arrays = [], []
@@ -188,12 +193,13 @@ class _Interpreter:
                 self.paint(bytes(s[-1]))
 
     def paint(self, name: bytes) -> None:
-        form = self.scan.xobjects.get(name)
+        form = self.own.get(name, self.scan.xobjects.get(name))
         if isinstance(form, Form):
             if self.depth < FORM_DEPTH:
-                self.scan.run(form.data, form.fonts | self.fonts, multiply(form.matrix, self.ctm), self.depth + 1)
+                self.scan.run(form.data, form.fonts | self.fonts, multiply(form.matrix, self.ctm), self.depth + 1, self.own | form.xobjects)
         else:
             self.scan.images.append(Image(name.decode("utf-8", "replace"), *box(self.ctm, 0, 0, 1, 1)))
+            self.scan.sources.append(form)
 
     def move(self, tx: float, ty: float) -> None:
         t = self.tlm

@@ -6,7 +6,7 @@ import re
 
 from paperlake.sources import filters
 from paperlake.sources.crypto import Decryptor
-from paperlake.sources.objects import Hex, Literal, Name, ParseError, Ref, Stream, bytes_of, integer, parse, parse_indirect, skip, text_of
+from paperlake.sources.objects import HEADER, Hex, Literal, Name, ParseError, Ref, Stream, bytes_of, integer, parse, parse_indirect, skip, text_of
 
 MAX_SECTIONS = 100
 METADATA = {"title": b"Title", "author": b"Author", "subject": b"Subject", "keywords": b"Keywords", "creator": b"Creator", "producer": b"Producer", "creationDate": b"CreationDate", "modDate": b"ModDate"}
@@ -116,12 +116,7 @@ class Document:
 
     @staticmethod
     def _predicted(stream: Stream) -> bytes:
-        raw = filters.decode(stream.data, stream.dict.get(b"Filter"))
-        parms = stream.dict.get(b"DecodeParms")
-        parms = parms[0] if isinstance(parms, list) and parms else parms
-        if not isinstance(parms, dict):
-            return raw
-        return filters.unpredict(raw, integer(parms.get(b"Columns", 1)) or 0, integer(parms.get(b"Predictor", 1)) or 1)
+        return filters.decode(stream.data, stream.dict.get(b"Filter"), stream.dict.get(b"DecodeParms"))
 
     def _check_root(self) -> None:
         entry = self.entries.get(self.trailer[b"Root"].num)
@@ -153,7 +148,8 @@ class Document:
         if entry and entry[0] == "at":
             _, value = parse_indirect(self.data, entry[1])
             if self.decryptor and not (isinstance(self.trailer.get(b"Encrypt"), Ref) and self.trailer[b"Encrypt"].num == num):
-                value = self.decryptor.value(value, num, 0)
+                generation = int(HEADER.match(self.data, entry[1])[2])
+                value = self.decryptor.value(value, num, generation)
         elif entry and entry[0] == "in":
             value = self._members(entry[1]).get(num)
         self.cache[num] = value
@@ -170,7 +166,7 @@ class Document:
             stream = self.load(num)
             if not isinstance(stream, Stream):
                 return out
-            body = filters.decode(stream.data, stream.dict.get(b"Filter"))
+            body = self.body(stream)
             first, n, at = integer(stream.dict.get(b"First")) or 0, integer(stream.dict.get(b"N")) or 0, 0
             for _ in range(n):
                 own, at = parse(body, at)
@@ -188,7 +184,9 @@ class Document:
         return self.load(value.num) if isinstance(value, Ref) else value
 
     def body(self, stream: Stream) -> bytes:
-        return filters.decode(stream.data, stream.dict.get(b"Filter"))
+        used, parms = (self.get(stream.dict.get(k)) for k in (b"Filter", b"DecodeParms"))
+        parms = [self.get(p) for p in parms] if isinstance(parms, list) else parms
+        return filters.decode(stream.data, used, parms)
 
     # Pages.
 

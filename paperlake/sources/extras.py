@@ -11,8 +11,9 @@ from paperlake.sources.objects import Hex, Literal, Name, ParseError, Ref, Strea
 EXTENSIONS = {b"DCTDecode": "jpeg", b"JPXDecode": "jp2", b"JBIG2Decode": "jbig2", b"CCITTFaxDecode": "tiff"}
 
 
-def xobjects(doc: Document, resources, cache: dict) -> dict:
-    """Name to Form for forms, to the stream's Ref (or Stream) for everything else."""
+def xobjects(doc: Document, resources, cache: dict, made: dict | None = None) -> dict:
+    """Name to Form for forms, to the stream's Ref (or Stream) for everything else; `made` holds the forms met so far."""
+    made = {} if made is None else made
     own = doc.get(resources.get(b"XObject")) if isinstance(resources, dict) else None
     out: dict = {}
     for name, ref in (own if isinstance(own, dict) else {}).items():
@@ -23,12 +24,18 @@ def xobjects(doc: Document, resources, cache: dict) -> dict:
         if not isinstance(stream, Stream):
             continue
         if stream.dict.get(b"Subtype") == Name(b"Form"):
+            if id(stream) in made:
+                out[name] = made[id(stream)]
+                continue
             matrix = [number(v) for v in stream.dict.get(b"Matrix", [])] if isinstance(stream.dict.get(b"Matrix"), list) else []
             try:
                 data = doc.body(stream)
             except ParseError:
                 continue
-            out[name] = Form(data, tuple(matrix) if len(matrix) == 6 and None not in matrix else IDENTITY, page_fonts(doc, doc.get(stream.dict.get(b"Resources")), cache))
+            inside = doc.get(stream.dict.get(b"Resources"))
+            inner: dict = {}
+            out[name] = made[id(stream)] = Form(data, tuple(matrix) if len(matrix) == 6 and None not in matrix else IDENTITY, page_fonts(doc, inside, cache), inner)
+            inner.update(xobjects(doc, inside, cache, made))
         else:
             out[name] = ref
     return out

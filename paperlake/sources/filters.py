@@ -17,8 +17,8 @@ def flate(data: bytes) -> bytes:
         raise ParseError(f"FlateDecode: {e}") from None
 
 
-def lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant first; the width grows when the table has outgrown it."""
+def lzw(data: bytes, early: int = 1) -> bytes:
+    """Codes of 9 to 12 bits, most significant first; the width grows `early` codes before the table outgrows it."""
     table: list[bytes] = []
     out, width, bits, held, last = [], 9, 0, 0, None
 
@@ -47,7 +47,7 @@ def lzw(data: bytes) -> bytes:
             if last is not None and len(table) < 4096:
                 table.append(last + word[:1])
             last = word
-            if len(table) >= 1 << width and width < 12:
+            if len(table) + early >= 1 << width and width < 12:
                 width += 1
     return b"".join(out)
 
@@ -95,6 +95,8 @@ def ascii_hex(data: bytes) -> bytes:
         raise ParseError("ASCIIHexDecode: a byte that is no digit") from None
 
 
+#: Filters whose output may have been predicted.
+PREDICTED = (b"FlateDecode", b"LZWDecode")
 FILTERS = {b"FlateDecode": flate, b"LZWDecode": lzw, b"ASCII85Decode": ascii85, b"RunLengthDecode": run_length, b"ASCIIHexDecode": ascii_hex}
 
 
@@ -105,15 +107,24 @@ def names(value) -> list[bytes]:
     return [bytes(v) for v in value if isinstance(v, Name)] if isinstance(value, list) else []
 
 
-def decode(data: bytes, filters) -> bytes:
-    """All filters in turn; one that isn't known leaves the bytes as they are."""
-    for f in names(filters):
-        data = FILTERS[f](data) if f in FILTERS else data
+def decode(data: bytes, filters, parms=None) -> bytes:
+    """All filters in turn, each with its parameters; one that isn't known leaves the bytes as they are."""
+    parms = parms if isinstance(parms, list) else [parms]
+    for k, f in enumerate(names(filters)):
+        own = parms[k] if k < len(parms) and isinstance(parms[k], dict) else {}
+        whole = lambda key, default: v if isinstance(v := own.get(key, default), int) else default  # noqa: B023, E731
+        if f == b"LZWDecode":
+            data = lzw(data, whole(b"EarlyChange", 1))
+        else:
+            data = FILTERS[f](data) if f in FILTERS else data
+        if f in PREDICTED and whole(b"Predictor", 1) >= 10:
+            bits = whole(b"Colors", 1) * whole(b"BitsPerComponent", 8)
+            data = unpredict(data, (whole(b"Columns", 1) * bits + 7) // 8, whole(b"Predictor", 1), max(bits // 8, 1))
     return data
 
 
-def unpredict(data: bytes, columns: int, predictor: int) -> bytes:
-    """Rows with a filter byte each; a partial last row stays as it is."""
+def unpredict(data: bytes, columns: int, predictor: int, step: int = 1) -> bytes:
+    """Rows of `columns` bytes with a filter byte each, pixels of `step` bytes; a partial last row stays as it is."""
     if predictor < 10:
         return data
     if columns <= 0:
@@ -126,19 +137,19 @@ def unpredict(data: bytes, columns: int, predictor: int) -> bytes:
         if kind == 2:
             row += above
         elif kind == 1:
-            row = np.cumsum(row, dtype=np.uint64).astype(np.uint8)
+            for i in range(step):
+                row[i::step] = np.cumsum(row[i::step], dtype=np.uint64).astype(np.uint8)
         elif kind in (3, 4):
-            left = corner = 0
             for i in range(columns):
                 up = int(above[i])
+                left, corner = (int(row[i - step]), int(above[i - step])) if i >= step else (0, 0)
                 if kind == 3:
                     guess = (left + up) // 2
                 else:
                     p = left + up - corner
                     a, b, c = abs(p - left), abs(p - up), abs(p - corner)
                     guess = left if a <= b and a <= c else up if b <= c else corner
-                left, corner = (int(row[i]) + guess) & 255, up
-                row[i] = left
+                row[i] = (int(row[i]) + guess) & 255
         out.append(row.tobytes())
         above = row
     return b"".join(out) + data[whole * (columns + 1) :]

@@ -221,7 +221,7 @@ class Font:
                 self.reverse = truetype_reverse(doc.body(file))
             file = doc.get(descriptor.get(b"FontFile"))
             if isinstance(file, Stream) and not self.differences:
-                self.differences = {int(c): n.decode("latin-1") for c, n in _PUT.findall(doc.body(file)[: 1 << 16])}
+                self.differences = {int(c): n.decode("latin-1") for c, n in _PUT.findall(doc.body(file))}
         self.flags = style_flags(self.name, bits)
 
     def _differences(self, values) -> None:

@@ -25,14 +25,14 @@ def _contents(doc: Document, page: dict) -> bytes:
 def _page(doc: Document, ref, fonts: dict, images: bool) -> dict:
     page = doc.get(ref)
     resources = doc.get(page.get(b"Resources"))
-    scan = Scan(page_fonts(doc, resources, fonts), xobjects(doc, resources, fonts)).run(_contents(doc, page))
+    keys = page_fonts(doc, resources, fonts)
+    scan = Scan(keys, xobjects(doc, resources, fonts)).run(_contents(doc, page))
     media = page.get(b"MediaBox")
     rect = [number(v) for v in media] if isinstance(media, list) and len(media) == 4 else None
-    keys = page_fonts(doc, resources, fonts)
     first = min(keys, default=None)
     found = []
     for seq, i in enumerate(scan.images if images else []):
-        ref = scan.xobjects.get(i.name.encode())
+        ref = scan.sources[seq]
         got = image_of(doc, ref) if ref is not None else None
         if got:
             found.append({"seq": seq, "bbox": [i.x0, i.y0, i.x1, i.y1], **got})

@@ -16,7 +16,7 @@ _SKIP = re.compile(rb"(?:[\0\t\n\r ]+|%[^\r\n]*)*")
 _REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]*")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 _REFERENCE = re.compile(rb"(\d+)[\0\t\n\r ]+(\d+)[\0\t\n\r ]+R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
-_HEADER = re.compile(rb"[\0\t\n\r ]*(\d+)[\0\t\n\r ]+(\d+)[\0\t\n\r ]+obj")
+HEADER = re.compile(rb"[\0\t\n\r ]*(\d+)[\0\t\n\r ]+(\d+)[\0\t\n\r ]+obj")
 _PARENTHESES = re.compile(rb"[()\\]")
 
 
@@ -144,7 +144,7 @@ def parse(data: bytes, at: int = 0, depth: int = 0):
 
 def parse_indirect(data: bytes, at: int):
     """(number, value) of `n g obj ... ` at `at`; a stream's bytes follow /Length if direct and right, else endstream."""
-    m = _HEADER.match(data, at)
+    m = HEADER.match(data, at)
     if not m:
         raise ParseError("no indirect object", data, at)
     value, end = parse(data, m.end())

@@ -79,6 +79,49 @@ def test_lzw_and_unknown_filters():
         filters.flate(b"broken")
 
 
+def lzw_codes(data: bytes, early: int) -> bytes:
+    """An encoder that never resets its table, with codes that widen `early` entries before they must."""
+    table, codes, word = {bytes([i]): i for i in range(256)}, [], b""
+    out, width, entries = f"{256:09b}", 9, 257
+    for c in data:
+        if word + bytes([c]) in table:
+            word += bytes([c])
+            continue
+        codes.append(table[word])
+        table[word + bytes([c])] = len(table) + 2
+        word = bytes([c])
+    for code in [*codes, table[word], 257]:
+        out += f"{code:0{width}b}"
+        entries += 1
+        if entries + early >= 1 << width and width < 12:
+            width += 1
+    return int(out.ljust(-(-len(out) // 8) * 8, "0"), 2).to_bytes(-(-len(out) // 8), "big")
+
+
+@pytest.mark.parametrize("early", [0, 1])
+def test_lzw_of_wider_codes(early):
+    data = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(90))
+    packed = lzw_codes(data, early)
+    parms = {b"EarlyChange": early}
+    assert filters.decode(packed, Name(b"LZWDecode"), [parms]) == data
+    assert early == 0 or filters.decode(packed, Name(b"LZWDecode")) == data
+
+
+def test_predicted_rows_of_three_colours():
+    rows = [bytes(range(k, k + 6)) for k in (1, 50)]
+    left = b"".join(b"\1" + r[:3] + bytes((r[i] - r[i - 3]) & 255 for i in range(3, 6)) for r in rows)
+    parms = {b"Predictor": 11, b"Colors": 3, b"Columns": 2}
+    assert filters.decode(zlib.compress(left), Name(b"FlateDecode"), parms) == b"".join(rows)
+
+
+def test_images_of_forms():
+    form = b"<< /Type /XObject /Subtype /Form /Resources << /XObject << /I 10 0 R /F 9 0 R >> >> /Length 5 >>\nstream\n/I Do\nendstream"
+    image = lambda w: b"<< /Subtype /Image /Width %d /Height 1 /Length 1 >>\nstream\nx\nendstream" % w
+    more = {9: form, 10: image(7), 11: image(8)}
+    page = read(one_page(b"/F Do /I Do", b"/XObject << /F 9 0 R /I 11 0 R >>", more=more))["pages"][0]
+    assert page["error"] is None and [i["width"] for i in page["images"]] == [7, 8]
+
+
 def test_predictors():
     rows = bytes([0, 1, 2, 3, 1, 1, 1, 1, 2, 1, 1, 1, 3, 2, 2, 2, 4, 1, 1, 1])
     assert filters.unpredict(rows, 3, 12) == bytes([1, 2, 3, 1, 2, 3, 2, 3, 4, 3, 5, 6, 4, 6, 7])
