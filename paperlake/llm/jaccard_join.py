@@ -7,15 +7,15 @@ domain is cut into n1 parts of 3 pieces, where 2 * n1 > k: in at least one part
 in at most one piece, so their projections on the other two agree. All (part, two pieces)
 projections are the signatures.
 
-A projection of one or two features is shared by strangers without number, and an empty one by all.
-Those say nothing and aren't sent. What they would have found is found by the others: the cut of the
-domain is a hash, drawn for each query, and a band of few parts is cut anew, independently, until it
-has PARTS parts in all. missed() bounds the chance that a pair at the threshold shares no signature
+A projection of few features is shared by strangers without number, and an empty one by all. Those
+say nothing and aren't sent: enough() tells how many features a band's projections need. What they
+would have found is found by the others: the cut of the domain is a hash, drawn for each query, and
+a band is cut anew, independently, until it has parts_of() parts in all. missed() bounds the chance that a pair at the threshold shares no signature
 that is sent; it is below 1e-9 in every band, whatever the texts.
 
 All pairs of a bucket are candidates; large buckets are paired in blocks, by other tasks. Distinct
-candidates that sketches don't rule out (a lower bound of the difference) are compared on their whole
-sets, in tasks that get each set once, and give what is asked for: each document's number of links, and edges enough to connect its group.
+candidates that sketches don't rule out (a lower bound of the difference; the larger a set, the more
+counters) are compared on their whole sets, in tasks that get each set once, and give what is asked for: each document's number of links, and edges enough to connect its group.
 """
 
 from __future__ import annotations
@@ -34,13 +34,11 @@ from paperlake.session import prepare, shared_dir
 
 N, LEAST = 2, 0.7
 PIECES = 3
-#: Parts that every band has at least, over independent cuts of the domain.
-PARTS = 96
+#: (from this size on, features that a projection needs to be a signature, parts over all independent cuts of the domain).
+NEEDS = ((1, 1, 96), (3, 2, 96), (8, 3, 96), (18, 4, 256), (38, 5, 560), (1200, 6, 1700))
 #: Documents of a bucket, or of a group, that are paired in one go.
 BLOCK = 1024
-#: Sketches (COUNTERS bytes each) up to this many are sent to every task.
-SENT_SKETCHES = 100_000
-#: Counters of the sketch that rules out most of the pairs that aren't similar.
+#: Counters of the sketch that rules out most of the pairs that aren't similar: so many at least, and one for 4 to 8 features.
 COUNTERS = 128
 #: Ids up to this many are sent to every task (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
@@ -62,7 +60,12 @@ def bands(least: float, upto: int) -> tuple[np.ndarray, np.ndarray]:
 
 def enough(low: np.ndarray) -> np.ndarray:
     """Features that a projection needs to be a signature, for bands that begin at these sizes."""
-    return np.where(low < 3, 1, np.where(low < 8, 2, 3))
+    return np.array([x[1] for x in NEEDS])[np.searchsorted([x[0] for x in NEEDS], low, "right") - 1]
+
+
+def parts_of(low: np.ndarray) -> np.ndarray:
+    """Parts that bands that begin at these sizes have at least, over all cuts."""
+    return np.array([x[2] for x in NEEDS])[np.searchsorted([x[0] for x in NEEDS], low, "right") - 1]
 
 
 def missed(low: int, least: float = LEAST, tries: int = 2000, seed: int = 1) -> float:
@@ -74,6 +77,7 @@ def missed(low: int, least: float = LEAST, tries: int = 2000, seed: int = 1) ->
     rng, (starts, parts) = np.random.default_rng(seed), bands(least, low)
     at = int(np.searchsorted(starts, low, "right")) - 1
     n1, need, high = int(parts[at]), int(enough(starts[at : at + 1])[0]), int(starts[at] / least + 1e-9)
+    cuts = -(-int(parts_of(starts[at : at + 1])[0]) // n1)
     worst = 0.0
     for t in range(low, high + 1) if high < 20 else (low, high):
         for s in {math.ceil(t * least - 1e-9), t}:
@@ -82,7 +86,7 @@ def missed(low: int, least: float = LEAST, tries: int = 2000, seed: int = 1) ->
                 common, other = (np.bincount(rng.integers(0, n1 * PIECES, x), minlength=n1 * PIECES).reshape(-1, PIECES) for x in (both, s + t - 2 * both))
                 fine = (other.sum(axis=1, keepdims=True) == other) & (common.sum(axis=1, keepdims=True) - common >= need)
                 fail += not fine.any()
-            worst = max(worst, (fail / tries) ** -(-PARTS // n1))
+            worst = max(worst, (fail / tries) ** cuts)
     return worst
 
 
@@ -108,35 +112,30 @@ def signatures(row: np.ndarray, feature: np.ndarray, rows: int, least: float) ->
     size = np.bincount(row, minlength=rows)
     low, parts = bands(least, int(size.max(initial=1)))
     own = np.searchsorted(low, np.maximum(size, 1), "right") - 1
-    out_row, out_sig = [], []
+    out_row, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, U)]
     first = np.searchsorted(row, np.arange(rows))
-    for step in (0, 1):
-        # A copy of each set for each cut of its band.
-        cuts = np.where(size > 0, -(-PARTS // parts[own + step]), 0)
-        of = np.repeat(np.arange(rows), cuts)
-        cut = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        band, many = own[of] + step, size[of]
-        copy = np.repeat(np.arange(len(of)), many)
-        f = feature[np.arange(len(copy)) - np.repeat(np.cumsum(many) - many - first[of], many)]
-        n1 = parts[band]
-        base = np.r_[0, np.cumsum(n1)]
-        spread = mix(f + ((band.astype(U) << U(16)) + cut.astype(U) + U(1))[copy] * U(0x9E3779B97F4A7C15))
-        piece = ((spread >> U(32)) * (n1[copy] * PIECES).astype(U) >> U(32)).astype(np.int64)
-        cell = base[copy] * PIECES + piece
-        cells = int(base[-1]) * PIECES
-        halves = [np.bincount(cell, (x).astype(float), cells).astype(U) for x in (f & U(0xFFFFFFFF), f >> U(32))]
-        total = (halves[0] + (halves[1] << U(32))).reshape(-1, PIECES)
-        count = np.bincount(cell, minlength=cells).reshape(-1, PIECES)
-        of_part = np.repeat(np.arange(len(of)), n1)
-        part = np.arange(int(base[-1])) - base[of_part]
-        need = enough(low)[band][of_part]
-        sum_total, sum_count = total.sum(axis=1, dtype=U), count.sum(axis=1)
-        for left_out in range(PIECES):
-            some = sum_count - count[:, left_out] >= need
-            c = of_part[some]
-            tag = mix((band[c].astype(U) << U(44)) ^ (cut[c].astype(U) << U(36)) ^ (part[some].astype(U) << U(4)) ^ U(left_out + 1))
-            out_row.append(of[c])
-            out_sig.append(mix((sum_total[some] - total[some, left_out]) ^ tag))
+    needs, cuts = enough(low), -(-parts_of(low) // parts)
+    for home in np.unique(own[size > 0]).tolist():
+        of = np.flatnonzero((own == home) & (size > 0))
+        many = size[of]
+        f = feature[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - first[of], many)]
+        weight = (f >> U(12)).astype(float)
+        for band in (home, home + 1):
+            n1, need = int(parts[band]), int(needs[band])
+            cells = n1 * PIECES
+            base = np.repeat(np.arange(len(of)) * cells, many)
+            for cut in range(int(cuts[band])):
+                spread = mix(f + U(((band << 16) + cut + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+                cell = base + ((spread >> U(32)) * U(cells) >> U(32)).astype(np.int64)
+                # Sums of equal sets are equal, rounded or not: their features come in one order.
+                total = np.bincount(cell, weight, len(of) * cells).astype(U).reshape(-1, PIECES)
+                count = np.bincount(cell, minlength=len(of) * cells).reshape(-1, PIECES)
+                sum_total, sum_count = total[:, 0] + total[:, 1] + total[:, 2], count[:, 0] + count[:, 1] + count[:, 2]
+                tag = mix((U(band) << U(44)) ^ (U(cut) << U(36)) ^ (np.arange(n1, dtype=U) << U(4))[:, None] ^ np.arange(1, PIECES + 1, dtype=U))
+                for left_out in range(PIECES):
+                    some = np.flatnonzero(sum_count - count[:, left_out] >= need)
+                    out_row.append(of[some // n1])
+                    out_sig.append(mix((sum_total[some] - total[some, left_out]) ^ tag[some % n1, left_out]))
     return np.concatenate(out_row), np.concatenate(out_sig)
 
 
@@ -145,6 +144,7 @@ _EDGES = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SETS = pa.schema([("doc", pa.int64()), ("feats", pa.binary())])
 _SKETCH = pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+_LIKELY = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.bool_())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -276,10 +276,15 @@ def _set_rows(n: int, key: int):
     return run
 
 
-def sketches(row: np.ndarray, feature: np.ndarray, rows: int) -> np.ndarray:
-    """How many features fall into each of COUNTERS shares of the domain, 255 for more."""
-    cell = row * COUNTERS + (feature >> U(17)).astype(np.int64) % COUNTERS
-    return np.minimum(np.bincount(cell, minlength=rows * COUNTERS), 255).astype(np.uint8).reshape(rows, COUNTERS)
+def sketches(row: np.ndarray, feature: np.ndarray, rows: int) -> list[bytes]:
+    """How many features fall into each share of the domain; shares are a power of two, in proportion to the set; empty where a count is beyond a byte."""
+    size = np.bincount(row, minlength=rows)
+    many = np.maximum(COUNTERS, 1 << np.log2(np.maximum(size // 4, 1)).astype(np.int64))
+    base = np.r_[0, np.cumsum(many)]
+    count = np.bincount(base[row] + ((feature >> U(17)).astype(np.int64) & (many - 1)[row]), minlength=int(base[-1]))
+    full = np.add.reduceat(count > 255, base[:-1]) if rows else np.zeros(0)
+    flat = count.astype(np.uint8).tobytes()
+    return [b"" if f else flat[x:y] for x, y, f in zip(base[:-1].tolist(), base[1:].tolist(), full.tolist())]
 
 
 def _sketch_rows(n: int, key: int):
@@ -288,25 +293,64 @@ def _sketch_rows(n: int, key: int):
             data, offsets = buffers(rows.column(1))
             for i, j in chunks(offsets, 4 << 20):
                 row, feature = feature_sets(data, offsets[i : j + 1], n, key)
-                sketch = [x.tobytes() for x in sketches(row, feature, j - i)]
-                yield batch(_SKETCH, doc=rows.column(0).slice(i, j - i), size=np.bincount(row, minlength=j - i), sketch=sketch)
+                yield batch(_SKETCH, doc=rows.column(0).slice(i, j - i), size=np.bincount(row, minlength=j - i), sketch=sketches(row, feature, j - i))
 
     return run
 
 
-def _may_be_similar(least: float):
-    """Lets pairs (a, b, size_a, size_b, sketch_a, sketch_b) through unless their sketches rule them out.
+def may_be_similar(sketch: list[bytes], size: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs (x, y) of sketched sets their sketches don't rule out; an empty sketch rules nothing out.
 
-    Sets differ in at least as many features as their counters do in sum, capped or not.
+    Sets differ in at least as many features as their counters do in sum; the finer sketch is folded.
     """
+    many = np.array([len(s) for s in sketch], np.int64)
+    out = (many[x] == 0) | (many[y] == 0)
+    first = np.r_[0, np.cumsum(many)]
+    flat = np.frombuffer(b"".join(sketch), np.uint8)
+    x, y = np.where(many[x] <= many[y], x, y), np.where(many[x] <= many[y], y, x)
+    fit = ~out & _fits(size[x], size[y], least)
+    for c in np.unique(many[x[fit]]).tolist():
+        for fold in (1, 2):  # sets that fit have as many counters, or twice as many
+            these = np.flatnonzero(fit & (many[x] == c) & (many[y] == fold * c))
+            for k in np.split(these, range(step := max(1, (4 << 20) // c), len(these), step)):
+                p = flat[first[x[k]][:, None] + np.arange(c)].astype(np.int16)
+                q = flat[first[y[k]][:, None] + np.arange(fold * c)].astype(np.int16).reshape(len(k), fold, c).sum(axis=1, dtype=np.int16)
+                out[k] = np.abs(p - q).sum(axis=1, dtype=np.int64) <= (size[x[k]] + size[y[k]]) * (1 - least) / (1 + least) + 1e-9
+    return out
 
-    def run(batches):
-        for rows in batches:
-            x, y = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS) for c in ("sketch_a", "sketch_b"))
-            both = sum(rows.column(c).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
-            differ = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-            fine = pa.array(differ <= both * (1 - least) / (1 + least) + 1e-9)
-            yield rows.select(["a", "b"]).filter(fine)
+
+def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Which edges between numbers below n join two trees, taken in order."""
+    root, tree = list(range(n)), np.zeros(len(x), bool)
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for at, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        p, q = find(i), find(j)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            tree[at] = True
+    return tree
+
+
+def _likely(least: float):
+    """(a, b, tree): a cell's pairs that sketches don't rule out; those with `tree` connect all that these connect."""
+
+    def run(pairs: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(pairs) or not len(known):
+            return pa.table([pa.array([], f.type) for f in _LIKELY], schema=_LIKELY)
+        known = known.sort_by("doc")
+        docs, size = known.column("doc").to_numpy(), known.column("size").to_numpy()
+        x, y = (np.searchsorted(docs, pairs.column(c).to_numpy()) for c in ("a", "b"))
+        # Documents with several texts have no one sketch; their pairs pass.
+        sketch = [b"" if n > 1 else s for n, s in zip(known.column("n").to_pylist(), known.column("sketch").to_pylist())]
+        fine = may_be_similar(sketch, size, x, y, least)
+        x, y = x[fine], y[fine]
+        return pa.table([pa.array(docs[x]), pa.array(docs[y]), pa.array(forest(x, y, len(docs)))], schema=_LIKELY)
 
     return run
 
@@ -352,23 +396,11 @@ def _verify(least: float):
         near = similar(sets.column("doc").to_numpy(), offsets, np.concatenate(feats), a, b, least)
         a, b = a[near], b[near]
         docs, links = np.unique(np.r_[a, b], return_counts=True)
-        root = np.arange(len(docs))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        x, y = [], []
-        for i, j in zip(np.searchsorted(docs, a).tolist(), np.searchsorted(docs, b).tolist()):
-            p, q = find(i), find(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                x.append(i)
-                y.append(j)
-        first = pa.array(np.r_[docs[x], docs] if x else docs)
-        return pa.table([first, pa.array(np.r_[docs[y], np.zeros(len(docs), np.int64)] if y else np.zeros(len(docs), np.int64)), pa.array(np.r_[np.full(len(x), -1), links])], schema=_FOUND)
+        x, y = np.searchsorted(docs, a), np.searchsorted(docs, b)
+        tree = forest(x, y, len(docs))
+        x, y = x[tree], y[tree]
+        first = pa.array(np.r_[docs[x], docs])
+        return pa.table([first, pa.array(np.r_[docs[y], np.zeros(len(docs), np.int64)]), pa.array(np.r_[np.full(len(x), -1), links])], schema=_FOUND)
 
     return run
 
@@ -435,19 +467,22 @@ def candidate_pairs(texts: DataFrame, keep, size: int, n: int = N, least: float
 def verified(pairs: DataFrame, texts: DataFrame, keep, ranges: int, n: int = N, least: float = LEAST, key: int = 0) -> DataFrame:
     """(a, b, n): with n = -1 edges that connect all similar pairs, with n > 0 a's number of similar documents in one task.
 
-    Pairs that sketches rule out go first. The rest meet by connected component, so that each set is
-    sent once; components over BLOCK documents are cut into blocks, and pairs meet by two blocks.
+    Pairs that sketches rule out go first, in cells: documents are split by a hash, and pairs meet by
+    the two parts of theirs, so that a sketch is sent once for each part its document has pairs with,
+    and no row of a pair carries one. The rest meet by connected component, so that each set is sent
+    once; components over BLOCK documents are cut into blocks, and pairs meet by two blocks.
     """
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    some = texts.join(_sent(ids, rows := ids.count()), "doc", "left_semi")
-    # Documents with several texts have no one sketch; their pairs pass.
+    split = max(4, math.isqrt(ranges) * 2)
+    side = lambda c: F.expr(f"pmod(xxhash64({c}), {split})")
+    celled = pairs.select("a", "b", (F.least(side("a"), side("b")) * split + F.greatest(side("a"), side("b"))).cast("int").alias("cell"))
+    asked = keep(celled.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("doc")).distinct())
+    ids = keep(asked.select("doc").distinct())
+    some = texts.join(_sent(ids, ids.count()), "doc", "left_semi")
     sketch = some.mapInArrow(_sketch_rows(n, key), "doc long, size long, sketch binary").groupBy("doc").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    sketch = keep(sketch)
-    end = lambda c: _sent(sketch.select(F.col("doc").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "size", "sketch"))), rows, SENT_SKETCHES)
-    both = pairs.join(end("a"), "a").join(end("b"), "b")
-    likely = both.where("n_a = 1 AND n_b = 1").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_may_be_similar(least), "a long, b long")
-    left = keep(likely.unionByName(both.where("n_a > 1 OR n_b > 1").select("a", "b")))
-    root = components(left, keep)
+    known = asked.join(keep(sketch).hint("merge"), "doc").select("at", "doc", "n", "size", "sketch")
+    left = keep(celled.groupBy("cell").cogroup(known.groupBy("at")).applyInArrow(_likely(least), "a long, b long, tree boolean"))
+    root = components(left.where("tree"), keep)
+    left = left.drop("tree")
     label = keep(root.select("doc", F.col("root").alias("label")).unionByName(root.select(F.col("root").alias("doc"), F.col("root").alias("label")).distinct()))
     rows = label.count()
     large = label.groupBy("label").agg(F.count("*").alias("n")).where(f"n > {BLOCK}").select("label", F.ceil(F.col("n") / BLOCK).alias("blocks"))

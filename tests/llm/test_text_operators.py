@@ -308,6 +308,38 @@ def test_partenum_signatures_meet():
     assert max(jaccard_join.missed(int(low)) for low in jaccard_join.bands(0.7, 1000)[0]) < 1e-9
 
 
+def test_signatures_tell_strangers_with_common_phrases_apart():
+    """Sets of 24 to 60 features with a fifth in common hardly ever meet; candidates would grow with the square of the corpus."""
+    rng, met = np.random.default_rng(4), 0
+    for size in (24, 40, 60):
+        shared = rng.integers(1, 1 << 40, size // 5)
+        sets = [np.unique(np.r_[shared, rng.integers(1, 1 << 40, size - size // 5)]) for _ in range(80)]
+        row = np.repeat(np.arange(80), [len(x) for x in sets])
+        own, sig = jaccard_join.signatures(row, np.concatenate(sets).astype(np.uint64), 80, 0.7)
+        holders = {}
+        for i, x in zip(own.tolist(), sig.tolist()):
+            holders.setdefault(x, set()).add(i)
+        met += len({(i, j) for h in holders.values() for i in h for j in h if i < j})
+    assert met < 0.012 * 3 * 80 * 79 / 2
+
+
+@pytest.mark.parametrize("size", [100, 3000])
+def test_sketches_rule_out_strangers_and_no_similar_pair(size):
+    """Of large sets too: else strangers are one group, whose sets go to many tasks."""
+    rng = np.random.default_rng(6)
+    feature = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    common, out = feature(size), []
+    for k in range(8):
+        out.append(np.sort(np.r_[common, feature(int(size * 0.02 * k))]))  # 0.7 at least
+    out += [np.sort(np.r_[common[: size // 4], feature(size * 3 // 4)]) for _ in range(8)]
+    row = np.repeat(np.arange(16), [len(x) for x in out])
+    sketch = jaccard_join.sketches(row, np.concatenate(out), 16)
+    x, y = np.triu_indices(16, 1)
+    fine = jaccard_join.may_be_similar(sketch, np.array([len(s) for s in out]), x, y, 0.7)
+    near = np.array([len(np.intersect1d(out[i], out[j])) >= 0.7 * len(np.union1d(out[i], out[j])) for i, j in zip(x, y)])
+    assert near.any() and fine[near].all() and fine[~near].mean() < 0.1
+
+
 def template_recall(make, features: int, shared: int, pair: int, pairs: int = 500) -> float:
     """Share of near pairs found among documents with one template: `shared` 2-grams in all of them, `pair` more in a pair."""
     template, docs = " ".join(f"t{k}" for k in range(shared + 1)), []
