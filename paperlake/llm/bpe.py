@@ -464,22 +464,21 @@ def _encode_rows(vocabulary):
                 part = column.slice(i, j - i)
                 null = np.array(part.is_null())
                 tokens, border = encoder.texts(part)
-                back = decoder.bytes(tokens)
-                edge = np.r_[0, np.cumsum(decoder.size[tokens])][border]
-                fine = _same(part, back, edge)
+                data, offsets = buffers(part)
+                fine = [comes_back(decoder, tokens[x:y], data[a:b].tobytes()) for x, y, a, b in zip(border[:-1], border[1:], offsets[:-1], offsets[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(border.astype(np.int32), mask=np.r_[null, False]), pa.array(tokens))
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, j - i), pa.array(np.diff(border), mask=null), lists, pa.array(fine, pa.bool_(), mask=null)], schema=_OUT)
 
     return run
 
 
-def _same(column: pa.Array, back: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Whether back[edge[i]:edge[i + 1]] are the bytes of text i."""
-    data, offsets = buffers(column)
-    raw = data[int(offsets[0]) : int(offsets[-1])]
-    if np.array_equal(offsets - offsets[0], edge):
-        return np.diff(np.r_[0, np.cumsum(raw != back)][edge]) == 0
-    return np.array([back[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(edge[:-1], edge[1:], offsets[:-1], offsets[1:])])
+def comes_back(decoder: Decoder, ids: np.ndarray, raw: bytes) -> bool:
+    """Whether incremental decoding of the tokens gives the text; one that is no UTF-8 must come back byte for byte as well."""
+    text = decoder.decode(ids)
+    try:
+        return text == raw.decode()
+    except UnicodeDecodeError:
+        return text == raw.decode("utf-8", "replace") and decoder.bytes(ids).tobytes() == raw
 
 
 def _decode_rows(vocabulary):

@@ -126,6 +126,21 @@ def test_bpe_of_strings_that_are_no_utf8(spark):
     assert rows(bpe.decode(odd)) == [(1, "\ufffd" * 3)]
 
 
+def test_bpe_query_decodes_incrementally(monkeypatch):
+    """round_trip is what the incremental decoder says, over all tokens of every text."""
+    with open(bpe.VOCABULARY, "rb") as f:
+        sent = type("Sent", (), {"value": f.read()})
+    fed, push = [], bpe.Decoder.push
+    monkeypatch.setattr(bpe.Decoder, "push", lambda decoder, ids: (fed.append(len(ids)), push(decoder, ids))[1])
+    docs = pa.record_batch({"doc_id": [1, 2, 3, 4], "text": ["naïve 😀 text", None, "", prose(5, 300)]})
+    (out,) = bpe._encode_rows(sent)([docs])
+    assert out.column(3).to_pylist() == [True, None, True, True]
+    assert sum(fed) == sum(n or 0 for n in out.column(1).to_pylist()) > 300
+    monkeypatch.setattr(bpe.Utf8, "feed", lambda held, new: ("wrong", b""))
+    (out,) = bpe._encode_rows(sent)([docs])
+    assert out.column(3).to_pylist() == [False, None, True, False]
+
+
 def thue_morse(n: int) -> list[int]:
     return [bin(i).count("1") % 2 for i in range(n)]
 
