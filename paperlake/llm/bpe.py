@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import buffers, chunks, fresh_key, key_of
+from paperlake.llm.kernels import buffers, chunks, fresh_key, key_of, sole
 from paperlake.session import prepare
 
 VOCABULARY = os.environ.get("PAPERLAKE_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -445,7 +445,7 @@ def coders(ranks: dict[bytes, int]) -> tuple[Encoder, Decoder]:
 
 def _worker(blob: bytes) -> tuple[Encoder, Decoder]:
     key = hash(blob)
-    if key not in _made:
+    if key not in sole(_made):
         _made.clear()
         _made[key] = coders({base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines())})
     return _made[key]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import FOLDED, U, Words, batch, buffers, chunks, fresh_key, groups_of, mix
+from paperlake.llm.kernels import FOLDED, U, Words, batch, buffers, chunks, fresh_key, groups_of, mix, sole
 from paperlake.llm.packing import pack_ints, split_by, unpack_ints
 from paperlake.session import prepare, shared_dir
 
@@ -150,6 +150,7 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 def _sign_rows(n: int, least: float, parts: int, key: int):
     def run(batches):
+        sole({})
         for rows in batches:
             ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = buffers(rows.column(1))
@@ -265,6 +266,7 @@ def _unite(table: pa.Table) -> pa.Table:
 
 def _set_rows(n: int, key: int):
     def run(batches):
+        sole({})
         for rows in batches:
             data, offsets = buffers(rows.column(1))
             for i, j in chunks(offsets, 4 << 20):
@@ -289,6 +291,7 @@ def sketches(row: np.ndarray, feature: np.ndarray, rows: int) -> list[bytes]:
 
 def _sketch_rows(n: int, key: int):
     def run(batches):
+        sole({})
         for rows in batches:
             data, offsets = buffers(rows.column(1))
             for i, j in chunks(offsets, 4 << 20):

@@ -107,6 +107,18 @@ def fresh_key() -> int:
     return secrets.randbits(62)
 
 
+_held: list[dict] = []
+
+
+def sole(cache: dict) -> dict:
+    """A cache that a worker keeps between tasks; those of other operators go, since the worker serves one after another."""
+    for other in _held:
+        if other is not cache:
+            other.clear()
+    _held[:] = [cache]
+    return cache
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

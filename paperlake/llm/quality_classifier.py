@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import EXACT, FOLDED, U, Words, batch, buffers, chunks, filter_rows, mix
+from paperlake.llm.kernels import EXACT, FOLDED, U, Words, batch, buffers, chunks, filter_rows, mix, sole
 from paperlake.session import prepare
 
 CLASSES = ("clean", "junk", "toxic")
@@ -195,6 +195,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 def _pattern_rows(marks):
     def run(batches):
+        sole({})
         for rows in batches:
             people = rows.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j, seen in _look(rows.column(0), marks.value):

@@ -141,6 +141,15 @@ def test_bpe_query_decodes_incrementally(monkeypatch):
     assert out.column(3).to_pylist() == [False, None, True, False]
 
 
+def test_workers_drop_the_caches_of_operators_before():
+    """A worker that encoded text doesn't keep the transducer's states while it signs sets."""
+    with open(bpe.VOCABULARY, "rb") as f:
+        bpe._worker(f.read())
+    assert bpe._made
+    docs = pa.record_batch({"doc": [1], "text": [prose(5, 300)]})
+    assert list(jaccard_join._sign_rows(2, 0.7, 4, 1)([docs])) and not bpe._made
+
+
 def thue_morse(n: int) -> list[int]:
     return [bin(i).count("1") % 2 for i in range(n)]
 
