@@ -22,13 +22,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import buffers, chunks, fresh_key, key_of, sole
+from paperlake.llm.kernels import buffers, chunks, fresh_key, key_of, lean, sole
 from paperlake.session import prepare
 
 VOCABULARY = os.environ.get("PAPERLAKE_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: States, and pieces with known tokens, that a worker keeps; beyond that it starts afresh.
-MAX_STATES, MAX_WORDS = 150_000, 400_000
+#: What a worker keeps: states and token pairs, beyond which it starts afresh, and pieces with known tokens, of which the older half goes.
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 150_000, 150_000, 300_000
+#: Bytes of text that are encoded at once.
+PART = 1 << 19
 #: Bytes after which a long piece's tokens are emitted as far as they are certain.
 HELD = 512
 
@@ -56,7 +58,8 @@ class Transducer:
             for c in word:
                 node = self.child[node].get(c) or self._grow(node, c)
             self.token[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.bits = max(ranks.values(), default=0).bit_length()
         self._compile()
         self._reset()
 
@@ -70,8 +73,8 @@ class Transducer:
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        #: by state and byte: (next state, the token that ends here)
-        self.moves: list[dict[int, tuple[int, int]]] = []
+        #: by state << 8 | byte: next state << bits | the token that ends here; whole numbers in one dict take the least memory
+        self.moves: dict[int, int] = {}
         self._state((0, -1))
 
     def _state(self, key: tuple) -> int:
@@ -79,7 +82,6 @@ class Transducer:
         if at is None:
             at = self.ids[key] = len(self.keys)
             self.keys.append(key)
-            self.moves.append({})
         return at
 
     def merge(self, word: bytes) -> list[int]:
@@ -131,14 +133,14 @@ class Transducer:
             return False
         if a < 0:
             return True
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(at := a << self.bits | b)
         if known is None:
-            if len(self.pairs) > 40 * MAX_STATES:
+            if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._apart(a, b)
+            known = self.pairs[at] = self._apart(a, b)
         return known
 
-    def _move(self, state: int, c: int) -> tuple[int, int]:
+    def _move(self, state: int, c: int) -> int:
         """Determinises one step; open places stand oldest first, as (node, token before it) pairs."""
         key, child, token, end, alive = self.keys[state], self.child, self.token, -1, []
         for i in range(0, len(key), 2):
@@ -151,7 +153,7 @@ class Transducer:
                     end = token[to]
         assert end >= 0, "a byte without a token"
         alive += (0, end)
-        move = self.moves[state][c] = self._state(tuple(alive)), end
+        move = self.moves[state << 8 | c] = self._state(tuple(alive)) << self.bits | end
         self.made += 1
         return move
 
@@ -176,11 +178,14 @@ class Run:
         self.machine, self.state, self.ends = machine, 0, []
 
     def step(self, data: bytes) -> None:
-        state, moves, ends, move = self.state, self.machine.moves, self.ends, self.machine._move
+        state, moves, ends, move, bits = self.state, self.machine.moves, self.ends, self.machine._move, self.machine.bits
+        mask = (1 << bits) - 1
         for c in data:
-            known = moves[state].get(c)
-            state, token = move(state, c) if known is None else known
-            ends.append(token)
+            known = moves.get(state << 8 | c)
+            if known is None:
+                known = move(state, c)
+            state = known >> bits
+            ends.append(known & mask)
         self.state = state
 
     def back(self, at: int) -> list[int]:
@@ -273,14 +278,20 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.machine, self.key = Transducer(ranks), key_of(fresh_key())
+        #: tokens of pieces, and of those that were known before
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _one(self, piece: bytes) -> bytes:
         blob = self.known.get(piece)
         if blob is None:
-            ids = self.machine.encode(piece)
-            blob = struct.pack(f"<{len(ids)}i", *ids)
+            blob = self.older.get(piece)
+            if blob is None:
+                ids = self.machine.encode(piece)
+                blob = struct.pack(f"<{len(ids)}i", *ids)
             if len(piece) <= HELD:
+                if len(self.known) >= MAX_WORDS // 2:
+                    self.known, self.older = {}, self.known
                 self.known[piece] = blob
         return blob
 
@@ -302,8 +313,6 @@ class Encoder:
             extra = np.flatnonzero(wrong)
             which[extra] = len(first) + np.arange(len(extra))
             first = np.r_[first, extra]
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
         text, one = raw.tobytes(), self._one
         blobs = [one(text[a : a + n]) for a, n in zip(start[first].tolist(), size[first].tolist())]
         each = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
@@ -456,11 +465,12 @@ DDL = "doc_id long, n_tokens long, tokens array<int>, round_trip boolean"
 
 
 def _encode_rows(vocabulary):
+    @lean
     def run(batches):
         encoder, decoder = _worker(vocabulary.value)
         for rows in batches:
             column = rows.column(1)
-            for i, j in chunks(buffers(column)[1], 1 << 20):
+            for i, j in chunks(buffers(column)[1], PART):
                 part = column.slice(i, j - i)
                 null = np.array(part.is_null())
                 tokens, border = encoder.texts(part)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import FOLDED, U, Words, buffers, filter_rows, mix, sole, words
+from paperlake.llm.kernels import FOLDED, U, Words, buffers, filter_rows, lean, mix, sole, words
 from paperlake.session import prepare
 
 SPAN, MISSES = 12, 2
@@ -124,6 +124,7 @@ class _Sent:
 
 
 def _scan_rows(sent):
+    @lean
     def run(batches):
         test = _worker(sent)
         for rows in batches:
@@ -142,6 +143,7 @@ def _scan_rows(sent):
 
 
 def _clean_rows(sent, at: int):
+    @lean
     def run(batches):
         test = _worker(sent)
         for rows in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import FOLDED, U, Words, batch, buffers, chunks, fresh_key, groups_of, mix, sole
+from paperlake.llm.kernels import FOLDED, U, Words, batch, buffers, chunks, fresh_key, groups_of, lean, mix, sole
 from paperlake.llm.packing import pack_ints, split_by, unpack_ints
 from paperlake.session import prepare, shared_dir
 
@@ -149,6 +149,7 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
 def _sign_rows(n: int, least: float, parts: int, key: int):
+    @lean
     def run(batches):
         sole({})
         for rows in batches:
@@ -248,6 +249,7 @@ def _pairs(parts: int, least: float):
 def _cross(parts: int):
     """Pairs of two blocks of a large bucket."""
 
+    @lean
     def run(batches):
         for rows in batches:
             for a, b in zip(rows.column(1), rows.column(2)):
@@ -265,6 +267,7 @@ def _unite(table: pa.Table) -> pa.Table:
 
 
 def _set_rows(n: int, key: int):
+    @lean
     def run(batches):
         sole({})
         for rows in batches:
@@ -290,6 +293,7 @@ def sketches(row: np.ndarray, feature: np.ndarray, rows: int) -> list[bytes]:
 
 
 def _sketch_rows(n: int, key: int):
+    @lean
     def run(batches):
         sole({})
         for rows in batches:

@@ -9,6 +9,8 @@ draw one for each query, so that no text can be made to collide.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import secrets
 from collections.abc import Iterator
 
@@ -108,6 +110,8 @@ def fresh_key() -> int:
 
 
 _held: list[dict] = []
+#: glibc's; other systems do without
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def sole(cache: dict) -> dict:
@@ -115,10 +119,32 @@ def sole(cache: dict) -> dict:
     for other in _held:
         if other is not cache:
             other.clear()
+    if not any(other is cache for other in _held):
+        give_back()
     _held[:] = [cache]
     return cache
 
 
+def give_back() -> None:
+    """Memory that is free but held by the allocators goes back to the system: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run):
+    """A task's function over batches that gives memory back when it ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

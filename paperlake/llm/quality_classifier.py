@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm.kernels import EXACT, FOLDED, U, Words, batch, buffers, chunks, filter_rows, mix, sole
+from paperlake.llm.kernels import EXACT, FOLDED, U, Words, batch, buffers, chunks, filter_rows, lean, mix, sole
 from paperlake.session import prepare
 
 CLASSES = ("clean", "junk", "toxic")
@@ -138,8 +138,10 @@ def _look(column: pa.Array, marks: np.ndarray | None = None):
 _MARK = pa.schema([("bucket", pa.int32()), ("toxic_docs", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
 
+@lean
 def _mark_rows(batches):
     """Counts of stems in documents that people call toxic or clean."""
+    sole({})
     total = np.zeros((3, BUCKETS), np.int64)
     for rows in batches:
         people = rows.column(1).to_numpy(zero_copy_only=False)
@@ -194,6 +196,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 def _pattern_rows(marks):
+    @lean
     def run(batches):
         sole({})
         for rows in batches:
@@ -209,7 +212,9 @@ _SAMPLE = pa.schema([("cls", pa.int32()), ("rank", pa.int64()), ("ids", pa.binar
 
 
 def _sample_rows(model):
+    @lean
     def run(batches):
+        sole({})
         patterns, q, rates, marks = model.value
         for rows in batches:
             people = rows.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -290,7 +295,9 @@ def _judge(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
 
 
 def _score_rows(model):
+    @lean
     def run(batches):
+        sole({})
         for rows in batches:
             p, keep = _judge(rows.column(1), model.value)
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(p[:, c]) for c in range(3)), pa.array(keep)], schema=_OUT)
@@ -299,7 +306,9 @@ def _score_rows(model):
 
 
 def _keep_rows(model, at: int):
+    @lean
     def run(batches):
+        sole({})
         for rows in batches:
             yield rows.filter(pa.array(_judge(rows.column(at), model.value)[1]))
 

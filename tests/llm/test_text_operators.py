@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from paperlake.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, quality_classifier, quality_rules, substring_dedup
+from paperlake.llm import bpe, decontaminate, jaccard_join, kernels, license_scan, line_dedup, quality_classifier, quality_rules, substring_dedup
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -150,6 +150,35 @@ def test_workers_drop_the_caches_of_operators_before():
     assert list(jaccard_join._sign_rows(2, 0.7, 4, 1)([docs])) and not bpe._made
 
 
+def test_bpe_keeps_no_more_than_its_limits(encoder, monkeypatch):
+    """Within one batch as well; what goes is computed anew, and all tokens stay right."""
+    for name, most in (("MAX_STATES", 60), ("MAX_PAIRS", 40), ("MAX_WORDS", 100)):
+        monkeypatch.setattr(bpe, name, most, raising=False)
+    few = bpe.Encoder(encoder.machine.ranks)
+    text = " ".join(f"w{k * 7919 % 1009}q{k}" for k in range(1500)) + " " + prose(4, 500)
+    for _ in range(2):
+        assert few.encode(text) == [t for piece in bpe.pieces(text) for t in encoder.machine.merge(piece.encode())]
+        assert len(few.known) + len(getattr(few, "older", ())) <= 100 and len(few.machine.pairs) <= 40
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """When a task ends or is left, and when the next operator's tasks find caches of another."""
+    given = []
+    bpe._made.clear()
+    monkeypatch.setattr(kernels, "_held", [])
+    monkeypatch.setattr(kernels, "give_back", lambda: given.append(len(bpe._made)))
+    with open(bpe.VOCABULARY, "rb") as f:
+        sent = type("Sent", (), {"value": f.read()})
+    docs = pa.record_batch({"doc_id": [1], "text": [prose(5, 300)]})
+    list(bpe._encode_rows(sent)([docs]))
+    task = bpe._encode_rows(sent)([docs, docs])
+    next(task)
+    task.close()
+    assert given == [0, 1, 1]
+    people = pa.record_batch({"text": [prose(5, 300)], "people": pa.array([1], pa.int32())})
+    assert list(quality_classifier._mark_rows([people])) and given == [0, 1, 1, 0, 0]
+
+
 def thue_morse(n: int) -> list[int]:
     return [bin(i).count("1") % 2 for i in range(n)]
 
