@@ -193,8 +193,13 @@ def page_text(blocks: DataFrame) -> DataFrame:
 def scanned_pages(pages: DataFrame, blocks: DataFrame, images: DataFrame, rects: DataFrame) -> DataFrame:
     """(path, page, is_scanned): fewer than 50 characters, and an image over 70 % of the page or more."""
     letters = blocks.groupBy(*KEY).agg(F.sum(F.aggregate("lines", F.lit(0), lambda a, r: a + F.length(r["text"]))).alias("_letters"))
+    return scanned_of(pages.select(*KEY).join(rects, KEY), letters, images)
+
+
+def scanned_of(placed: DataFrame, letters: DataFrame, images: DataFrame) -> DataFrame:
+    """scanned_pages() of pages with their rects, whose characters are counted."""
     covered = images.groupBy(*KEY).agg(F.max(F.abs(F.col("x1") - F.col("x0")) * F.abs(F.col("y1") - F.col("y0"))).alias("_area"))
     r = lambda k: F.col("rect")[k]
     area = F.greatest(F.abs((r(2) - r(0)) * (r(3) - r(1))), F.lit(1.0))
-    out = pages.select(*KEY).join(rects, KEY).join(letters, KEY, "left").join(covered, KEY, "left")
+    out = placed.select(*KEY, "rect").join(letters, KEY, "left").join(covered, KEY, "left")
     return out.select(*KEY, ((F.coalesce("_letters", F.lit(0)) < 50) & (F.coalesce("_area", F.lit(0.0)) / area >= 0.7)).alias("is_scanned"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -38,3 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_path(files: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows of (path, text or content), those of one path one after the other; the number of parts follows the source's size in files."""
+    spark = files.sparkSession
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Beyond 2^56 Spark doesn't know the size. Few parts would leave cores idle: the work on a text costs far more than moving it.
+    n = max(partitions(spark), 4 * spark.sparkContext.defaultParallelism, size // (16 << 20) if size < 1 << 56 else 0)
+    return files.repartition(n, "path").sortWithinPartitions(*files.columns)
