@@ -38,7 +38,9 @@ def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def pdf_documents(spark, sf_dir):
-    return parse_properties(document_files(spark, sf_dir)).select("path", "page_count", "pdf_version", "is_encrypted", "is_linearized", F.col("metadata.title").alias("title"), "error")
+    """Each file has a title, the beginning of its text; an empty one, which metadata doesn't tell from none, is an empty string."""
+    title = F.when(F.col("error").isNull(), F.coalesce("metadata.title", F.lit(""))).alias("title")
+    return parse_properties(document_files(spark, sf_dir)).select("path", "page_count", "pdf_version", "is_encrypted", "is_linearized", title, "error")
 
 
 def pdf_chars(spark, sf_dir):

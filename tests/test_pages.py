@@ -36,7 +36,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", IN_ONE_PASS)
+@pytest.mark.parametrize("name", [*IN_ONE_PASS, "pdf_documents"])
 def test_odd_documents(spark, odd, name):
     if name not in ORACLE_SQL:
         pytest.skip("no SQL")
