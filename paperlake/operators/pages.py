@@ -52,6 +52,17 @@ def _closed(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(texts, "", "\n")
 
 
+def letters(codes: np.ndarray) -> pa.StringArray:
+    """A string for each code point; surrogates are no characters."""
+    codes = np.where((codes >= 0xD800) & (codes < 0xE000), np.uint32(0xFFFD), codes).astype(np.uint32)
+    ends = np.append(0, np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(ends), pa.py_buffer(codes.tobytes().decode("utf-32-le").encode()))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Rows:
     """Spans, lines or blocks in order: page, number within it (lines: within its column), box, text."""
 

@@ -9,28 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as fn
-from paperlake.session import prepare, shared_dir
+from paperlake.session import by_path, prepare, shared_dir
 from paperlake.sources.reader import Corpus, parse_files, parse_properties
 from paperlake.sources.writer import text_pdf
 
 COLUMNS, ROWS = 60, 50
 
 
+#: Bytes of files that are sent at once.
+_SENT = 4 << 20
+
+
 def _write_rows(batches):
     for rows in batches:
-        files = []
-        for text in rows.column(1).to_pylist():
+        paths, files, size = [], [], 0
+        for path, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
             flat = text.replace("\n", " ")
             lines = [flat[i : i + COLUMNS] for i in range(0, len(flat), COLUMNS)]
+            paths.append(path)
             files.append(text_pdf([lines[i : i + ROWS] for i in range(0, len(lines), ROWS)] or [[]], title=text[:20]))
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(files, pa.binary())], names=["path", "content"])
+            size += len(files[-1])
+            if size > _SENT:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
+                paths, files, size = [], [], 0
+        if files:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): each document as a PDF of 60 x 50 characters a page."""
+    """(path, content): each document as a PDF of 60 x 50 characters a page; those of one path follow each other."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    # Parsing costs far more than moving the text, which may come from a few large row groups.
-    return docs.select(F.col("doc_id").cast("string"), "text").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_write_rows, "path string, content binary")
+    return by_path(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), docs).mapInArrow(_write_rows, "path string, content binary")
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.operators import layout
+from paperlake.operators.pages import code_points, letters
 from paperlake.session import prepare
 from paperlake.sources.document import METADATA
 from paperlake.sources.kernel import read
@@ -35,27 +36,43 @@ DDL = (
 _BARE = pa.schema([f if f.name != "pages" else pa.field("pages", pa.list_(pa.struct([g for g in _PAGE if g.name != "chars"]))) for f in _SCHEMA])
 
 
-def _batch(path: str, got: dict) -> pa.RecordBatch:
-    """One file's row. Characters are many, so they are set column by column."""
-    chars = [p.pop("chars") for p in got["pages"]]
-    for page in got["pages"]:
+#: A batch is sent at so many characters, files or bytes of files.
+_FULL = 1 << 17, 256, 16 << 20
+
+
+def _batch(files: list[tuple[str, dict]]) -> pa.RecordBatch:
+    """Rows of files. Characters are many, so they are set column by column."""
+    pages = [p for _, got in files for p in got["pages"]]
+    chars = [p.pop("chars") for p in pages]
+    for page in pages:
         page["image_refs"] = [i._asdict() for i in page["image_refs"]]
-    bare = pa.RecordBatch.from_pylist([{"path": path, **got}], schema=_BARE)
-    kinds = list(_CHARS.value_type)
-    columns = list(zip(*(c for page in chars for c in page))) or [[]] * len(kinds)
+    bare = pa.RecordBatch.from_pylist([{"path": path, **got} for path, got in files], schema=_BARE)
+    text = letters(code_points("".join(t for c in chars for t in c.text)))
+    numbers = [pa.array(np.concatenate([np.zeros(0), *(np.frombuffer(c.columns[k]) for c in chars)])) for k in range(5)]
+    rotated = pa.array(np.frombuffer(b"".join(c.rotated for c in chars), bool))
     borders = np.cumsum([0, *map(len, chars)]).astype(np.int32)
-    own = pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, kinds)], fields=kinds))
-    flat = bare.column("pages").values
-    pages = pa.StructArray.from_arrays([own if f.name == "chars" else flat.field(f.name) for f in _PAGE], fields=list(_PAGE))
-    whole = pa.ListArray.from_arrays(pa.array([0, len(pages)], pa.int32()), pages)
+    own = pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays([text, *numbers, rotated], fields=list(_CHARS.value_type)))
+    lists = bare.column("pages")
+    whole = pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays([own if f.name == "chars" else lists.values.field(f.name) for f in _PAGE], fields=list(_PAGE)))
     return pa.RecordBatch.from_arrays([whole if f.name == "pages" else bare.column(f.name) for f in _SCHEMA], schema=_SCHEMA)
 
 
 def _rows(images: bool, content: bool = True):
+    """Batches of files; those of one path that follow each other stay in one batch."""
+
     def run(batches):
+        waiting, size = [], np.zeros(3, int)
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield _batch(path, read(raw.as_buffer().to_pybytes() if raw.is_valid else b"", images, content))
+                if (size >= _FULL).any() and path != waiting[-1][0]:
+                    yield _batch(waiting)
+                    waiting, size = [], np.zeros(3, int)
+                data = raw.as_buffer().to_pybytes() if raw.is_valid else b""
+                got = read(data, images, content)
+                waiting.append((path, got))
+                size += sum(len(p["chars"]) for p in got["pages"]), 1, len(data)
+        if waiting:
+            yield _batch(waiting)
 
     return run
 
