@@ -19,7 +19,7 @@ SPAN = pa.struct([("x0", pa.float64()), ("span", pa.int64()), ("text", pa.string
 LINE = pa.struct([("line", pa.int64()), ("text", pa.string()), ("bbox", pa.list_(pa.float64())), ("spans", pa.list_(SPAN))])
 
 
-def _changes(*keys: np.ndarray) -> np.ndarray:
+def changes(*keys: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before in any key; true for the first."""
     new = np.zeros(len(keys[0]), bool)
     new[:1] = True
@@ -28,13 +28,13 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _number(new: np.ndarray) -> np.ndarray:
+def number(new: np.ndarray) -> np.ndarray:
     """Numbers from 0 within groups that begin where `new` holds."""
     at = np.arange(len(new))
     return at - np.maximum.accumulate(np.where(new, at, 0)) if len(new) else at
 
 
-def _unions(box: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+def unions(box: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
     return [f.reduceat(v, at) if len(at) else v[:0] for f, v in zip((np.fmin, np.fmin, np.maximum, np.maximum), box)]
 
 
@@ -82,18 +82,18 @@ class Pages:
     @np.errstate(all="ignore")
     def __init__(self, page: np.ndarray, box: list[np.ndarray], text: pa.Array, texts: bool = True, seq: np.ndarray | None = None):
         self.texts = texts
-        new = _changes(page)
+        new = changes(page)
         new[1:] |= ~_near(box, SPAN_GAP, LINE_APART)
         no = None
         if seq is not None:
-            count, first = np.cumsum(new), _changes(page, seq)
+            count, first = np.cumsum(new), changes(page, seq)
             last = np.append(np.flatnonzero(first)[1:], len(page)) - 1
-            begun = (count - 1)[np.flatnonzero(_changes(page))][page] if len(page) else count
+            begun = (count - 1)[np.flatnonzero(changes(page))][page] if len(page) else count
             no = count[last][np.cumsum(first) - 1] - 1 - begun
-            new = _changes(page, no)
+            new = changes(page, no)
         at = np.flatnonzero(new)
         own = page[at]
-        self.spans = Rows(own, _number(_changes(own)) if no is None else no[at], _unions(box, at), pc.binary_join(pa.ListArray.from_arrays(_ends(at, len(page)), text), "") if texts else None)
+        self.spans = Rows(own, number(changes(own)) if no is None else no[at], unions(box, at), pc.binary_join(pa.ListArray.from_arrays(_ends(at, len(page)), text), "") if texts else None)
         self.spans.col = self._columns()
 
     def _columns(self) -> np.ndarray:
@@ -103,7 +103,7 @@ class Pages:
             return s.page
         order = np.lexsort((s.no, s.box[0], s.page))
         page, x0, x1 = s.page[order], s.box[0][order], s.box[2][order]
-        new = _changes(page)
+        new = changes(page)
         at, own = np.flatnonzero(new), np.cumsum(new) - 1
         values, rank = np.unique(x1, return_inverse=True)
         # The rank of what is reached so far; a page's ranks are above those of the pages before.
@@ -125,7 +125,7 @@ class Pages:
         """Lines, where each begins, and their spans from left to right, with spaces where gaps are."""
         with np.errstate(all="ignore"):
             s = self.spans.take(np.argsort(self.spans.page * 2 + self.spans.col, kind="stable"))
-            new = _changes(s.page, s.col)
+            new = changes(s.page, s.col)
             new[1:] |= ~_near(s.box, 5 * SIZE, 10 * SIZE)
             at, line = np.flatnonzero(new), np.cumsum(new)
             s = s.take(np.lexsort((s.no, s.box[0], line)))
@@ -136,7 +136,7 @@ class Pages:
                 spaced &= ~pc.starts_with(s.text, " ").to_numpy(zero_copy_only=False)
                 s.text = pc.binary_join_element_wise(pa.array(np.where(spaced, " ", "").tolist(), pa.string()), s.text, "")
             text = pc.binary_join(pa.ListArray.from_arrays(_ends(at, len(new)), s.text), "") if self.texts else None
-            return Rows(page, _number(_changes(page, col)), _unions(s.box, at), text, col), at, s
+            return Rows(page, number(changes(page, col)), unions(s.box, at), text, col), at, s
 
     @property
     def lines(self) -> Rows:
@@ -150,13 +150,13 @@ class Pages:
     def _blocked(self) -> tuple[Rows, np.ndarray]:
         """Blocks, and where the lines of each begin."""
         s = self.lines
-        new = _changes(s.page, s.col)
+        new = changes(s.page, s.col)
         with np.errstate(all="ignore"):
             new[1:] |= ~(np.maximum(s.box[1][1:], s.box[1][:-1]) - np.fmin(s.box[3][1:], s.box[3][:-1]) <= BLOCK_GAP)
         at = np.flatnonzero(new)
         page = s.page[at]
         text = _closed(pc.binary_join(pa.ListArray.from_arrays(_ends(at, len(new)), s.text), "\n")) if self.texts else None
-        return Rows(page, _number(_changes(page)), _unions(s.box, at), text, s.col[at]), at
+        return Rows(page, number(changes(page)), unions(s.box, at), text, s.col[at]), at
 
     @property
     def blocks(self) -> Rows:
@@ -179,8 +179,8 @@ class Pages:
 def page_union(blocks: Rows, count: int) -> np.ndarray:
     """The union of each page's blocks, NaN for pages without any."""
     out = np.full((count, 4), np.nan)
-    at = np.flatnonzero(_changes(blocks.page))
-    out[blocks.page[at]] = np.column_stack(_unions(blocks.box, at))
+    at = np.flatnonzero(changes(blocks.page))
+    out[blocks.page[at]] = np.column_stack(unions(blocks.box, at))
     return out
 
 
@@ -213,13 +213,13 @@ def read_order(blocks: Rows, rects: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Places of the blocks that stay, page by page in reading order, and their numbers in it."""
     kept = np.flatnonzero(~outside(blocks, rects))
     page = blocks.page[kept]
-    new = _changes(page)
+    new = changes(page)
     at = np.append(np.flatnonzero(new), len(kept))
     boxes, out = np.column_stack(blocks.box)[kept], kept.copy()
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
         if hi - lo > 1:
             out[lo:hi] = kept[lo:hi][reading_order(boxes[lo:hi].tolist(), rects[page[lo]].tolist())]
-    return out, _number(new)
+    return out, number(new)
 
 
 def page_texts(blocks: Rows, count: int) -> pa.Array:

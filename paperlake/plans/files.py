@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as fn
-from paperlake.session import by_path, prepare, shared_dir
-from paperlake.sources.reader import Corpus, parse_files, parse_properties
+from paperlake.session import by_path, prepare
+from paperlake.sources.reader import Corpus, parse_properties
 from paperlake.sources.writer import text_pdf
 
 COLUMNS, ROWS = 60, 50
@@ -43,7 +41,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(parse_files(document_files(spark, sf_dir)))
+    return Corpus.of(document_files(spark, sf_dir), include_images=False)
 
 
 def pdf_documents(spark, sf_dir):
@@ -58,8 +56,8 @@ def pdf_chars(spark, sf_dir):
 
 
 def pdf_page_text(spark, sf_dir):
-    """Text of the pages, through files, kernel and layout; the parsed rows are written once, since several tables read them."""
-    return _corpus(spark, sf_dir).persist(f"{shared_dir(spark)}/parsed-{uuid.uuid4().hex}").page_text
+    """Text of the pages, through files, kernel and layout, in one pass."""
+    return _corpus(spark, sf_dir).page_text
 
 
 def pdf_corpus_report(spark, sf_dir):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.operators import layout
-from paperlake.operators.pages import code_points, letters
+from paperlake.operators.pages import BOX, Pages, Rows, changes, code_points, letters, number, page_texts, read_order, rects_of
 from paperlake.session import prepare
 from paperlake.sources.document import METADATA
 from paperlake.sources.kernel import read
@@ -94,21 +97,129 @@ def read_files(spark: SparkSession, paths: str | Iterable[str], pattern: str = "
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths if isinstance(paths, str) else list(paths))
 
 
+_LINES = "array<struct<line:long,text:string,bbox:array<double>,spans:array<struct<x0:double,span:long,text:string,y0:double,x1:double,y1:double>>>>"
+_BLOCKS = f"path string, page long, block_no long, col int, x0 double, y0 double, x1 double, y1 double, text string, lines {_LINES}, dropped boolean, reading_no long"
+#: Characters that are laid out at once.
+_AT_ONCE = 1 << 18
+
+
+class LaidOut:
+    """Pages of several files: path and number of each, its media box or None, characters by column, and their blocks."""
+
+    def __init__(self, batch: pa.RecordBatch, rotated: bool):
+        lists = batch.column("pages")
+        pages, sizes = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy()
+        self.count, self.include_rotated = len(pages), rotated
+        self.paths = batch.column("path").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        self.numbers = np.arange(self.count) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.given = pc.struct_field(pages, "rect").to_pylist()
+        own = pc.struct_field(pages, "chars")
+        self.page = np.repeat(np.arange(self.count), pc.list_value_length(own).fill_null(0).to_numpy())
+        chars = own.flatten()
+        self.text = pc.struct_field(chars, "c")
+        self.box = [pc.struct_field(chars, k).to_numpy(zero_copy_only=False) for k in BOX]
+        self.rotated = pc.struct_field(chars, "rotated").to_numpy(zero_copy_only=False).astype(bool)
+
+    def _part(self, which: np.ndarray, axes: tuple) -> Pages:
+        at = np.flatnonzero(which)
+        return Pages(self.page[at], [self.box[k][at] for k in axes], self.text.take(pa.array(at)))
+
+    @cached_property
+    def _parts(self) -> list[tuple[Pages, tuple]]:
+        """Upright characters and, if asked for, rotated ones with their axes changed; the axes."""
+        turned = [(1, 0, 3, 2)] if self.include_rotated else []
+        return [(self._part(self.rotated == (k > 0), axes), axes) for k, axes in enumerate([(0, 1, 2, 3), *turned])]
+
+    @cached_property
+    def _order(self) -> np.ndarray:
+        return np.argsort(np.concatenate([p.blocks.page for p, _ in self._parts]), kind="stable")
+
+    @cached_property
+    def blocks(self) -> Rows:
+        """A page's upright blocks, then the rotated ones."""
+        own = [(p.blocks, axes) for p, axes in self._parts]
+        boxes = [np.concatenate([b.box[axes[k]] for b, axes in own]) for k in range(4)]
+        joined = lambda name: np.concatenate([getattr(b, name) for b, _ in own])
+        out = Rows(joined("page"), joined("no"), boxes, pa.concat_arrays([b.text for b, _ in own]), joined("col")).take(self._order)
+        out.no = number(changes(out.page))
+        return out
+
+    @cached_property
+    def rects(self) -> np.ndarray:
+        return rects_of(self.given, self.blocks)
+
+    def block_rows(self):
+        b = self.blocks
+        order, no = read_order(b, self.rects)
+        reading, dropped = np.full(len(b.page), -1), np.ones(len(b.page), bool)
+        reading[order], dropped[order] = no, False
+        lines = pa.concat_arrays([p.nested(k > 0) for k, (p, _) in enumerate(self._parts)]).take(pa.array(self._order))
+        return b.page, b.no, b.col.astype(np.int32), *b.box, b.text, lines, dropped, reading
+
+    def rect_rows(self):
+        return np.arange(self.count), pa.ListArray.from_arrays(pa.array(np.arange(self.count + 1) * 4, pa.int32()), pa.array(self.rects.ravel()))
+
+    def text_rows(self):
+        order, _ = read_order(self.blocks, self.rects)
+        return np.arange(self.count), page_texts(self.blocks.take(order), self.count)
+
+
+def _parts(batch: pa.RecordBatch):
+    """Slices of whole files with about _AT_ONCE characters; those of one path that follow each other stay together."""
+    lists = batch.column("pages")
+    chars = pc.list_value_length(pc.struct_field(lists.flatten(), "chars")).fill_null(0).to_numpy()
+    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())
+    total = np.append(0, np.cumsum(chars))[ends]
+    paths, first, sent = batch.column("path").to_pylist(), 0, 0
+    for k in range(len(paths)):
+        if k + 1 == len(paths) or total[k] - sent >= _AT_ONCE and paths[k] != paths[k + 1]:
+            yield batch.slice(first, k + 1 - first)
+            first, sent = k + 1, total[k]
+
+
 class Corpus:
-    """Tables of a set of parsed files; each is a plan over the nested rows, so unused columns are never unpacked."""
+    """Tables of a set of parsed files; each is a plan over the nested rows, so unused columns are never unpacked.
+
+    Layout takes one pass over whole pages, in the pass that parses where the rows aren't persisted. Files are
+    laid out one by one, also those that share a path.
+    """
+
+    def __init__(self, parsed: DataFrame, include_rotated: bool = False, files: DataFrame | None = None):
+        self.parsed, self.include_rotated, self.files = parsed, include_rotated, files
 
-    def __init__(self, parsed: DataFrame, include_rotated: bool = False):
-        self.parsed, self.include_rotated = parsed, include_rotated
+    @classmethod
+    def of(cls, files: DataFrame, include_images: bool = True, include_rotated: bool = False) -> Corpus:
+        """Of files (path, content)."""
+        return cls(parse_files(files, include_images), include_rotated, files)
 
     @classmethod
     def load(cls, spark: SparkSession, paths: str | Iterable[str], include_images: bool = True, include_rotated: bool = False) -> Corpus:
-        return cls(parse_files(read_files(spark, paths), include_images), include_rotated)
+        return cls.of(read_files(spark, paths), include_images, include_rotated)
 
     def persist(self, path: str) -> Corpus:
         """Writes the parsed rows, so that the tables don't parse the files again."""
         self.parsed.write.mode("overwrite").parquet(path)
         return Corpus(self.parsed.sparkSession.read.parquet(path), self.include_rotated)
 
+    def laid_out(self, ddl: str, make) -> DataFrame:
+        """What make(LaidOut) has: the page, and the columns of ddl after path and page."""
+        names, rotated, parse = [c.split()[0] for c in re.sub("<.*>", "", ddl).split(", ")], self.include_rotated, None if self.files is None else _rows(False)
+
+        def run(batches):
+            for batch in parse(batches) if parse else batches:
+                for part in _parts(batch):
+                    own = LaidOut(part, rotated)
+                    page, *columns = make(own)
+                    columns = [own.paths.take(pa.array(page)), own.numbers[page], *columns]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+        if parse:
+            source = self.files.select(F.col("path").cast("string"), "content")
+        else:
+            source = self.parsed.select("path", F.transform("pages", lambda p: F.struct(p["rect"].alias("rect"), p["chars"].alias("chars"))).alias("pages"))
+        prepare(source.sparkSession)
+        return source.mapInArrow(run, ddl)
+
     @property
     def documents(self) -> DataFrame:
         return self.parsed.select("path", "page_count", "pdf_version", "is_encrypted", "is_linearized", "metadata", "error")
@@ -140,30 +251,33 @@ class Corpus:
     def toc(self) -> DataFrame:
         return self.parsed.select("path", F.posexplode("toc").alias("seq", "v")).select("path", F.col("seq").cast("long").alias("seq"), "v.*")
 
+    @property
+    def _blocks(self) -> DataFrame:
+        return self.laid_out(_BLOCKS, LaidOut.block_rows)
+
     @property
     def all_blocks(self) -> DataFrame:
-        return layout.body_blocks(self.chars, self.include_rotated)
+        return self._blocks.drop("dropped", "reading_no")
 
     @property
     def rects(self) -> DataFrame:
-        return layout.page_rects(self._pages.select("path", "page", "p.rect"), self.all_blocks)
+        return self.laid_out("path string, page long, rect array<double>", LaidOut.rect_rows)
 
     @property
     def blocks(self) -> DataFrame:
         """Blocks in reading order."""
-        return layout.order_blocks(self.all_blocks, self.rects)
+        return self._blocks.where("not dropped").drop("dropped", "block_no").withColumnRenamed("reading_no", "block_no")
 
     @property
     def page_text(self) -> DataFrame:
-        text = layout.page_text(self.blocks)
-        return self._pages.select("path", "page").join(text, ["path", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+        return self.laid_out("path string, page long, text string", LaidOut.text_rows)
 
     @property
     def pages(self) -> DataFrame:
         """(path, page, rect, is_scanned, diagnostics, error)"""
-        blocks, rects = self.all_blocks, self.rects
-        outside = layout.drop_outside(blocks, rects).groupBy("path", "page").agg(F.count_if("dropped").alias("out_of_page_block_count"))
-        scanned = layout.scanned_pages(self._pages, layout.drop_outside(blocks, rects).where("not dropped"), self.image_refs, rects)
+        blocks, rects = self._blocks, self.rects
+        outside = blocks.groupBy("path", "page").agg(F.count_if("dropped").alias("out_of_page_block_count"))
+        scanned = layout.scanned_pages(self._pages, blocks.where("not dropped"), self.image_refs, rects)
         rotated = F.size(F.filter("p.chars", lambda c: c["rotated"])).cast("long")
         own = self._pages.select("path", "page", rotated.alias("rotated_char_count"), "p.type3_char_count", "p.undecoded_byte_count", "p.inline_image_count", "p.error")
         joined = own.join(rects, ["path", "page"]).join(scanned, ["path", "page"]).join(outside, ["path", "page"], "left")
