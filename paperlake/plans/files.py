@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as fn
+from paperlake.operators.pages import changes, code_points, letters, number, unions
 from paperlake.session import by_path, prepare
-from paperlake.sources.reader import Corpus, parse_properties
+from paperlake.sources.reader import Corpus, LaidOut, parse_properties
 from paperlake.sources.writer import text_pdf
 
 COLUMNS, ROWS = 60, 50
@@ -50,9 +55,34 @@ def pdf_documents(spark, sf_dir):
     return parse_properties(document_files(spark, sf_dir)).select("path", "page_count", "pdf_version", "is_encrypted", "is_linearized", title, "error")
 
 
+def _counted(own: LaidOut):
+    """The characters of each page: number, extent, sums of their places, and a hash of the text.
+
+    Documents of one path follow each other, so all of a page's characters are here; they lie upon each other.
+    An empty document has a row without a page that counts the document, as in the SQL.
+    """
+    paths = own.paths.to_pylist()
+    doc = np.cumsum([k > 0 and p != paths[k - 1] for k, p in enumerate(paths)])
+    file = np.cumsum(own.numbers == 0) - 1
+    page, text, box = own.page, own.text, own.box
+    if len(doc) and file[-1] > doc[-1]:
+        codes = code_points("".join(text.to_pylist()))
+        order = np.lexsort((codes, number(changes(page)), own.numbers[page], doc[page]))
+        page, text, box = page[order], letters(codes[order]), [v[order] for v in box]
+    at = np.flatnonzero(changes(doc[page], own.numbers[page]))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(page)), pa.int32()), text), "")
+    hashes = [md5(t.as_buffer(), usedforsecurity=False).hexdigest() for t in joined.cast(pa.binary())]
+    sums = [np.add.reduceat(v, at) if len(at) else v for v in box[:2]]
+    empty = np.flatnonzero((own.numbers == 0) & (np.bincount(file, np.bincount(own.page, minlength=own.count))[file] == 0)) if len(doc) else at
+    first = empty[changes(doc[empty])]
+    counts = np.append(np.diff(np.append(at, len(page))), np.bincount(doc[empty])[doc[first]] if len(empty) else first)
+    numbers = [pa.array(np.append(v, np.zeros(len(first))), mask=np.arange(len(at) + len(first)) >= len(at)) for v in (*unions(box, at), *sums)]
+    own.hidden = np.isin(np.arange(own.count), first)
+    return np.append(page[at], first), counts, *numbers, pa.array(hashes + [md5(b"", usedforsecurity=False).hexdigest()] * len(first), pa.string())
+
+
 def pdf_chars(spark, sf_dir):
-    chars = _corpus(spark, sf_dir).chars
-    return chars.groupBy("path", "page").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("x0").alias("sum_x0"), F.sum("y0").alias("sum_y0"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "c"))), lambda r: r["c"]), "")).alias("content"))
+    return _corpus(spark, sf_dir).laid_out("path string, page long, n long, x0 double, y0 double, x1 double, y1 double, sum_x0 double, sum_y0 double, content string", _counted)
 
 
 def pdf_page_text(spark, sf_dir):

@@ -112,6 +112,8 @@ class LaidOut:
         self.count, self.include_rotated = len(pages), rotated
         self.paths = batch.column("path").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
         self.numbers = np.arange(self.count) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        #: Pages whose number isn't told, if any.
+        self.hidden: np.ndarray | None = None
         self.given = pc.struct_field(pages, "rect").to_pylist()
         own = pc.struct_field(pages, "chars")
         self.page = np.repeat(np.arange(self.count), pc.list_value_length(own).fill_null(0).to_numpy())
@@ -210,7 +212,7 @@ class Corpus:
                 for part in _parts(batch):
                     own = LaidOut(part, rotated)
                     page, *columns = make(own)
-                    columns = [own.paths.take(pa.array(page)), own.numbers[page], *columns]
+                    columns = [own.paths.take(pa.array(page)), pa.array(own.numbers, mask=own.hidden).take(pa.array(page)), *columns]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
         if parse:
