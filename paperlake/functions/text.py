@@ -58,22 +58,36 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def set_scores(a: Column, b: Column) -> Column:
+    """Precision, recall and Jaccard index of two arrays without repetitions; empty ones score 0."""
+
+    def scores(n: Column) -> Column:
+        share = lambda total: F.when(total > 0, n["both"] / total).otherwise(0.0)
+        return F.struct(share(n["a"]).alias("precision"), share(n["b"]).alias("recall"), share(n["a"] + n["b"] - n["both"]).alias("jaccard"))
+
+    sizes = lambda s: F.struct(F.size(s["a"]).alias("a"), F.size(s["b"]).alias("b"), F.size(F.array_intersect(s["a"], s["b"])).alias("both"))
+    return _let(_let(F.struct(a.alias("a"), b.alias("b")), sizes), scores)
+
+
 def word_scores(found: Column, wanted: Column) -> dict[str, Column]:
     """Precision, recall and Jaccard index of two texts' word sets; empty sets score 0."""
-    a, b = words(found), words(wanted)
-    both = F.size(F.array_intersect(a, b))
-    share = lambda n: F.when(n > 0, both / n).otherwise(0.0)
-    return {"precision": share(F.size(a)), "recall": share(F.size(b)), "jaccard": share(F.size(F.array_union(a, b)))}
+    scores = set_scores(words(found), words(wanted))
+    return {k: scores[k] for k in ("precision", "recall", "jaccard")}
 
 
 def trigrams(text: Column) -> Column:
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """From the text's characters, since a substring would be looked for from the beginning each time."""
+    each = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2]))
+    return F.when(F.length(text) >= 3, F.array_distinct(_let(F.split(text, ""), each))).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
-    x, y = trigrams(a), trigrams(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
+    return set_scores(trigrams(a), trigrams(b))["jaccard"]
 
 
 def replacements(text: Column) -> Column:

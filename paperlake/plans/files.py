@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import text as fn
 from paperlake.operators.pages import changes, code_points, letters, number, unions
-from paperlake.session import by_path, prepare
+from paperlake.session import by_path, parts, prepare
 from paperlake.sources.reader import Corpus, LaidOut, parse_properties
 from paperlake.sources.writer import text_pdf
 
@@ -109,9 +109,11 @@ def text_similarity(spark, sf_dir):
     from pyspark.sql import Window
 
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    before = turns.withColumn("wanted", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("wanted IS NOT NULL")
-    scores = fn.word_scores(F.col("text"), F.col("wanted"))
-    return before.select("conv_id", "turn", *[F.round(v, 9).alias(k) for k, v in scores.items()], F.round(fn.trigram_jaccard(F.col("text"), F.col("wanted")), 9).alias("trigram"), fn.replacements(F.col("text")).cast("long").alias("undecoded"))
+    apart = turns.select("conv_id", "turn", "text").repartition(parts(turns), "conv_id")
+    before = apart.withColumn("wanted", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("wanted IS NOT NULL")
+    text, wanted = F.col("text"), F.col("wanted")
+    scored = before.select("conv_id", "turn", fn.set_scores(fn.words(text), fn.words(wanted)).alias("w"), fn.trigram_jaccard(text, wanted).alias("t"), fn.replacements(text).cast("long").alias("undecoded"))
+    return scored.select("conv_id", "turn", *[F.round(F.col("w")[k], 9).alias(k) for k in ("precision", "recall", "jaccard")], F.round("t", 9).alias("trigram"), "undecoded")
 
 
 def affine_boxes(spark, sf_dir):

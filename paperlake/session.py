@@ -40,10 +40,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_path(files: DataFrame, source: DataFrame) -> DataFrame:
-    """Rows of (path, text or content), those of one path one after the other; the number of parts follows the source's size in files."""
-    spark = files.sparkSession
+def parts(source: DataFrame) -> int:
+    """Number of parts for work on texts that costs far more than moving them: no core idle, and more as the source's files grow."""
+    spark = source.sparkSession
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # Beyond 2^56 Spark doesn't know the size. Few parts would leave cores idle: the work on a text costs far more than moving it.
-    n = max(partitions(spark), 4 * spark.sparkContext.defaultParallelism, size // (16 << 20) if size < 1 << 56 else 0)
-    return files.repartition(n, "path").sortWithinPartitions(*files.columns)
+    # Beyond 2^56 Spark doesn't know the size.
+    return max(partitions(spark), 4 * spark.sparkContext.defaultParallelism, size // (16 << 20) if size < 1 << 56 else 0)
+
+
+def by_path(files: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows of (path, text or content), those of one path one after the other, in as many parts as the source needs."""
+    return files.repartition(parts(source), "path").sortWithinPartitions(*files.columns)
